@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricetide.schemas import Catalog
-
 LINE_AS_OF = datetime(2001, 11, 5)
 RUN_AS_OF = datetime(2024, 1, 31)
 P_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -21,8 +19,24 @@ TITLE_CATEGORIES = [
 OFFER_KEY = 100000
 
 
+TEST_TABLES = {
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table under its known schema, so that no job runs to infer it."""
+    return spark.read.schema(TEST_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,12 +202,27 @@ def decisions(spark, sf_dir) -> DataFrame:
     )
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    return Catalog(
-        retailers=retailers(spark, sf_dir), categories=categories(spark, sf_dir), products=products(spark, sf_dir),
-        listings=listings(spark, sf_dir), offers=offers(spark, sf_dir), observations=observations(spark, sf_dir),
-        runs=runs(spark, sf_dir), decisions=decisions(spark, sf_dir),
-    )
+class LazyCatalog:
+    """The catalog interface over the test tables; a table is planned when a query first asks for it."""
+
+    BUILDERS = {
+        "retailers": retailers, "categories": categories, "products": products, "listings": listings,
+        "offers": offers, "observations": observations, "runs": runs, "decisions": decisions,
+    }
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._args = (spark, sf_dir)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self.BUILDERS:
+            raise AttributeError(name)
+        table = self.BUILDERS[name](*self._args)
+        self.__dict__[name] = table
+        return table
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> LazyCatalog:
+    return LazyCatalog(spark, sf_dir)
 
 
 # Hardware titles over part and supplier keys, for the text and matching operators.
