@@ -64,10 +64,20 @@ def _squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(kept, r"(?U)\s{2,}", " "))
 
 
-def _without_words(text: Column, words: list[str]) -> Column:
-    for w in longest_first(words):
-        text = F.regexp_replace(text, f"(?iU){_word(w.lower())}", "")
-    return text
+def _without_words(low: Column, words: list[str]) -> Column:
+    """Delete words one after another, longest first, from lower-case text.
+
+    The one-element array binds each intermediate text to a name, so a word that does not occur costs a
+    substring test and no regex. Deleting all words with one alternation would differ where a deletion joins text.
+    """
+
+    def without(word: str):
+        return lambda t: F.when(t.contains(word), F.regexp_replace(t, f"(?U){_word(word)}", "")).otherwise(t)
+
+    bound = F.array(low)
+    for word in longest_first([w.lower() for w in words]):
+        bound = F.transform(bound, without(word))
+    return F.element_at(bound, 1)
 
 
 def normalize_strict(text: Column) -> Column:
