@@ -182,20 +182,15 @@ EXTRACTORS = {
 }
 
 
-def family(category_name: Column) -> Column:
-    """Attribute family of a category, or null when the category has no attributes."""
-    text = F.trim(F.regexp_replace(F.lower(F.coalesce(category_name, F.lit(""))), "[^a-z0-9]+", " "))
-    picks = []
-    for wanted, absent, label in ROUTES:
-        hit = text.rlike(wanted)
-        picks.append(F.when(hit & ~text.contains(absent) if absent else hit, label))
-    return F.coalesce(*picks)
+def _route(text: Column, wanted: str, absent: str | None) -> Column:
+    return text.rlike(wanted) & ~text.contains(absent) if absent else text.rlike(wanted)
 
 
 def attributes(name: Column, category_name: Column) -> Column:
     """Attribute map of a product name under its category; empty without a known category."""
-    which = family(category_name)
-    out = None
-    for label, extract in EXTRACTORS.items():
-        out = F.when(which == label, extract(name)) if out is None else out.when(which == label, extract(name))
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce(category_name, F.lit(""))), "[^a-z0-9]+", " "))
+    (wanted, absent, label), *rest = ROUTES
+    out = F.when(_route(text, wanted, absent), EXTRACTORS[label](name))
+    for wanted, absent, label in rest:
+        out = out.when(_route(text, wanted, absent), EXTRACTORS[label](name))
     return out.otherwise(F.create_map().cast("map<string,string>"))

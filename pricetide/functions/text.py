@@ -1,13 +1,12 @@
 """Product text normalization as native column expressions.
 
 Patterns carry ``(?U)`` so that blanks, digits and word boundaries follow Unicode. Brand detection guards each
-pattern with a plain substring test on the lower-cased name, which rejects most brands without a regex.
+pattern with a plain substring test on the lower-cased name, which rejects most brands without a regex. Word lists
+are constant arrays, so an expression stays small however long the list is.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +20,14 @@ def longest_first(words: list[str]) -> list[str]:
 BRANDS = longest_first(KNOWN_BRANDS)
 
 
-def _word(text: str) -> str:
-    return rf"\b{re.escape(text)}\b"
+def _listed(words: list[str]) -> Column:
+    """Constant array of (word, lower-case word)."""
+    return F.array(*[F.struct(F.lit(w).alias("word"), F.lit(w.lower()).alias("low")) for w in words])
+
+
+def _as_word(text: Column, flags: str) -> Column:
+    """Pattern for ``text`` standing as a word. Compiled only for words that already passed a substring test."""
+    return F.concat(F.lit(f"(?{flags})\\b\\Q"), text, F.lit("\\E\\b"))
 
 
 def strip(text: Column) -> Column:
@@ -36,11 +41,10 @@ def nonempty(text: Column) -> Column:
 def brand(name: Column) -> Column:
     """Longest known brand standing as a word anywhere; otherwise a brand the name starts with."""
     low = F.lower(name)
-    as_word = [
-        F.when(low.contains(b.lower()) & name.rlike(f"(?iU){_word(b)}"), F.lit(b)) for b in BRANDS
-    ]
-    as_prefix = [F.when(low.startswith(b.lower()), F.lit(b)) for b in BRANDS]
-    return F.coalesce(*as_word, *as_prefix)
+    inside = F.filter(_listed(BRANDS), lambda b: low.contains(b["low"]))
+    as_word = F.filter(inside, lambda b: F.rlike(name, _as_word(b["word"], "iU")))
+    as_prefix = F.filter(inside, lambda b: low.startswith(b["low"]))
+    return F.coalesce(F.try_element_at(as_word, F.lit(1))["word"], F.try_element_at(as_prefix, F.lit(1))["word"])
 
 
 def model(name: Column, found_brand: Column) -> Column:
@@ -48,11 +52,9 @@ def model(name: Column, found_brand: Column) -> Column:
 
     The pattern is anchored at the start, so only the first mention can match.
     """
-    out = None
-    for b in BRANDS:
-        cut = strip(F.regexp_replace(name, rf"(?isU)^(.*?){_word(b)}", "$1"))
-        out = F.when(found_brand == b, cut) if out is None else out.when(found_brand == b, cut)
-    return F.coalesce(nonempty(out.otherwise(name)), name)
+    first_mention = F.concat(F.lit(r"(?isU)^(.*?)\b\Q"), found_brand, F.lit(r"\E\b"))
+    cut = strip(F.regexp_replace(name, first_mention, F.lit("$1")))
+    return F.coalesce(nonempty(cut), name)
 
 
 def brand_or(given: Column, name: Column) -> Column:
@@ -67,27 +69,24 @@ def _squeeze(text: Column) -> Column:
 def _without_words(low: Column, words: list[str]) -> Column:
     """Delete words one after another, longest first, from lower-case text.
 
-    The one-element array binds each intermediate text to a name, so a word that does not occur costs a
-    substring test and no regex. Deleting all words with one alternation would differ where a deletion joins text.
+    A word that does not occur costs a substring test and no regex. Deleting all words with one alternation
+    would differ where a deletion joins text.
     """
-
-    def without(word: str):
-        return lambda t: F.when(t.contains(word), F.regexp_replace(t, f"(?U){_word(word)}", "")).otherwise(t)
-
-    bound = F.array(low)
-    for word in longest_first([w.lower() for w in words]):
-        bound = F.transform(bound, without(word))
-    return F.element_at(bound, 1)
+    listed = F.array(*[F.lit(w.lower()) for w in longest_first(words)])
+    return F.aggregate(
+        listed, low,
+        lambda text, w: F.when(text.contains(w), F.regexp_replace(text, _as_word(w, "U"), F.lit(""))).otherwise(text),
+    )
 
 
 def normalize_strict(text: Column) -> Column:
     low = _without_words(F.lower(F.coalesce(text, F.lit(""))), STRICT_WORDS)
-    return _squeeze(F.regexp_replace(low, r"(?iU)(\d+)\s*(gb|mb|mhz|cl\d+)", "$1"))
+    return _squeeze(F.regexp_replace(low, r"(?U)(\d+)\s*(gb|mb|mhz|cl\d+)", "$1"))
 
 
 def normalize_loose(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    low = F.regexp_replace(low, r"(?iU)\b\d+(\.\d+)?\s*-?(core|ghz)\b", "")
+    low = F.regexp_replace(low, r"(?U)\b\d+(\.\d+)?\s*-?(core|ghz)\b", "")
     return _squeeze(_without_words(low, STRICT_WORDS + LOOSE_EXTRA_WORDS))
 
 
