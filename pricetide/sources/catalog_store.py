@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricetide import schemas as K
 from pricetide.fixed_values import SEED_CATEGORIES, SEED_RETAILERS
@@ -72,9 +73,10 @@ def load(spark: SparkSession, base: str, version: int | None = None) -> K.Catalo
         name: read_table(spark, name, f"{base}/{name}/version={at}")
         for name in K.TABLE_SCHEMAS if name != "observations"
     }
-    observations = spark.read.option("basePath", f"{base}/observations").parquet(f"{base}/observations")
+    stored = T.StructType([*K.OBSERVATIONS.fields, T.StructField("version", T.LongType()), T.StructField("day", T.DateType())])
+    observations = spark.read.schema(stored).parquet(f"{base}/observations")
     committed = observations.filter(F.col("version") <= at)
-    tables["observations"] = committed.select(*[F.col(f.name).cast(f.dataType) for f in K.OBSERVATIONS])
+    tables["observations"] = committed.select(*K.OBSERVATIONS.names)
     return K.Catalog(**tables)
 
 
