@@ -291,7 +291,8 @@ def ingest_batch(cat: Catalog, snapshots: DataFrame, *, as_of: datetime, slices:
     valid, rejected = validate(snapshots)
     fields = [f for f in valid.columns if f != "url"]
     latest = valid.groupBy("url").agg(F.max_by(F.struct(*fields), "seq").alias("s")).select("url", "s.*")
-    planned = cut(plan_matches(cat, identify(latest)))
+    # Joins on the fingerprint would push filters below the text expressions; computing them once here avoids that.
+    planned = cut(plan_matches(cat, cut(identify(latest))))
     conflicts = planned.filter("conflict").select("url", "listing_id", "product_id", "category_id", "chosen_category_id")
     rows = planned.filter(~c("conflict"))
 

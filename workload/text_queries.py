@@ -15,6 +15,7 @@ from pricetide.functions import fingerprint as FP
 from pricetide.functions import predicates as P
 from pricetide.functions import similarity as SIM
 from pricetide.functions import text as X
+from pricetide.sources.lineage import cut
 from workload import adapter
 from workload.adapter import LINE_AS_OF, RUN_AS_OF, catalog, lines, titles
 from workload.adapter_sql import with_ctes
@@ -256,6 +257,8 @@ IDENTITY_CTES = {**TEXT_CTES, "routed": ROUTED_SQL, "printed": FINGERPRINT_SQL}
 
 
 def printed(spark, d):
+    """Titles with fingerprint. Materialized where it is joined on: a filter on the fingerprint would otherwise be
+    pushed below the text expressions and evaluate them twice."""
     c = F.col
     return attributed(spark, d).withColumn(
         "fingerprint",
@@ -335,7 +338,7 @@ SELECT offer_id, CASE WHEN brand IS NULL OR p_brand_name IS NULL THEN {BRAND_UNK
   fingerprint = p_fp AS fingerprint_match
 FROM (SELECT *, {_shared} AS shared, {_same} AS same FROM printed JOIN owned ON pk = l_partkey + 1)""", **PARTS_CTES))
 def _(spark, d):
-    rows = printed(spark, d)
+    rows = cut(printed(spark, d))
     own = rows.filter(F.col("l_suppkey") % 4 == 0).groupBy(F.col("l_partkey").alias("pk")).agg(
         *[F.any_value(c).alias(f"p_{c}") for c in ("brand", "fingerprint", "attributes")]
     )
