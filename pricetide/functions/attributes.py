@@ -182,15 +182,31 @@ EXTRACTORS = {
 }
 
 
-def _route(text: Column, wanted: str, absent: str | None) -> Column:
-    return text.rlike(wanted) & ~text.contains(absent) if absent else text.rlike(wanted)
+def family(category_name: Column) -> Column:
+    """Attribute family of a category, or null when the category has no attributes."""
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce(category_name, F.lit(""))), "[^a-z0-9]+", " "))
+
+    def route(t: Column) -> Column:
+        picks = []
+        for wanted, absent, label in ROUTES:
+            hit = t.rlike(wanted)
+            picks.append(F.when(hit & ~t.contains(absent) if absent else hit, label))
+        return F.coalesce(*picks)
+
+    return F.element_at(F.transform(F.array(text), route), 1)
 
 
 def attributes(name: Column, category_name: Column) -> Column:
-    """Attribute map of a product name under its category; empty without a known category."""
-    text = F.trim(F.regexp_replace(F.lower(F.coalesce(category_name, F.lit(""))), "[^a-z0-9]+", " "))
-    (wanted, absent, label), *rest = ROUTES
-    out = F.when(_route(text, wanted, absent), EXTRACTORS[label](name))
-    for wanted, absent, label in rest:
-        out = out.when(_route(text, wanted, absent), EXTRACTORS[label](name))
-    return out.otherwise(F.create_map().cast("map<string,string>"))
+    """Attribute map of a product name under its category; empty without a known category.
+
+    The one-element arrays bind the category text and the family, so each is worked out once per row.
+    """
+
+    def extract(which: Column) -> Column:
+        out = None
+        for label, extractor in EXTRACTORS.items():
+            values = extractor(name)
+            out = F.when(which == label, values) if out is None else out.when(which == label, values)
+        return out.otherwise(F.create_map().cast("map<string,string>"))
+
+    return F.element_at(F.transform(F.array(family(category_name)), extract), 1)

@@ -38,11 +38,16 @@ def _pair_text(pair: Column) -> Column:
 
 
 def identity_text(category_id: Column, brand: Column, base: Column, pairs: Column) -> Column:
-    listed = F.array_join(F.transform(pairs, _pair_text), ", ")
-    closing = F.when(F.size(pairs) == 1, ",)").otherwise(")")
+    """``base`` holds only letters, digits, blanks and hyphens, so it needs no escaping."""
+
+    def listed(found: Column) -> Column:
+        closing = F.when(F.size(found) == 1, ",)").otherwise(")")
+        return F.concat(F.lit("("), F.array_join(F.transform(found, _pair_text), ", "), closing)
+
+    # The one-element array binds the pairs, so they are built once per row.
+    shown = F.element_at(F.transform(F.array(pairs), listed), 1)
     return F.concat(
-        F.lit("("), category_id.cast("string"), F.lit(", "), quoted(brand), F.lit(", "), quoted(base),
-        F.lit(", ("), listed, closing, F.lit(")"),
+        F.lit("("), category_id.cast("string"), F.lit(", "), quoted(brand), F.lit(", '"), base, F.lit("', "), shown, F.lit(")")
     )
 
 
