@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import text as X
 from pricetide.operators import changes, extract, ingest
-from pricetide.operators import match as M
 from pricetide.plans import client, review
 from pricetide.schemas import empty_catalog
 from pricetide.sources import catalog_store
@@ -20,8 +19,6 @@ from workload.adapter_sql import listing_title, with_ctes
 from workload.registry import query
 from workload.text_queries import IDENTITY_CTES, printed
 
-LIVE = "status = 'available' AND is_active"
-
 # Change capture.
 
 def _snap_status():

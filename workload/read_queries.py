@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import predicates as P
 from pricetide.operators import stats as S
-from pricetide.plans import client, health, products, trends
-from pricetide.plans import review
-from workload.adapter import LINE_AS_OF, P_TYPES, RUN_AS_OF, catalog, read, retailers
-from workload import adapter
-from workload.adapter_sql import summary, with_ctes
+from pricetide.plans import client, health, products, review, trends
+from workload.adapter import LINE_AS_OF, RUN_AS_OF, catalog, read
+from workload.adapter_sql import with_ctes
 from workload.registry import query
 
 LINE_TS = f"TIMESTAMP '{LINE_AS_OF}'"
@@ -402,7 +400,6 @@ def price_drops(spark, d):
 
 RUN_FIELDS = ["status", "scraper_name", "started_at", "finished_at", "error_summary", "listings_seen",
               "listings_created", "listings_updated"]
-_last = ", ".join(f"arg_max(x.{c}, (x.started_at, x.id)) FILTER (WHERE true) AS latest_run_{c}" for c in [])
 LATEST_RUN = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY retailer_id ORDER BY started_at DESC, id DESC) AS rn FROM runs WHERE retailer_id IS NOT NULL) WHERE rn = 1"
 HEALTH = f"""SELECT id AS retailer_id, name AS retailer_name,
   CASE WHEN latest_run_status IS NULL THEN 'never_run' WHEN latest_run_status = 'started' THEN 'running'
@@ -548,11 +545,9 @@ def _(spark, d):
 
 
 def _alerts(spark, d):
-    n = read(spark, d, "part").agg(F.max("p_partkey").alias("m"))
-    alerts = read(spark, d, "customer").select(
+    return read(spark, d, "customer").select(
         F.col("c_custkey").alias("product_id"), (F.greatest("c_acctbal", F.lit(1.0)) * 5).alias("target_price")
     )
-    return alerts
 
 
 ALERTS = """SELECT a.product_id, s.canonical_name, a.target_price, s.best_price,

@@ -17,7 +17,7 @@ from pricetide.functions import similarity as SIM
 from pricetide.functions import text as X
 from pricetide.sources.lineage import cut
 from workload import adapter
-from workload.adapter import LINE_AS_OF, RUN_AS_OF, catalog, lines, titles
+from workload.adapter import RUN_AS_OF, catalog, lines, titles
 from workload.adapter_sql import with_ctes
 from workload.registry import query
 
@@ -299,8 +299,8 @@ def _(spark, d):
 
 
 @query("severity", with_ctes("""
-SELECT id, CASE WHEN listings_seen <= 0 THEN 'ok' WHEN scaper = 'error' THEN 'critical' ELSE 'warning' END AS severity
-FROM (SELECT *, scraper_name AS scaper FROM runs)"""))
+SELECT id, CASE WHEN listings_seen <= 0 THEN 'ok' WHEN scraper_name = 'error' THEN 'critical' ELSE 'warning' END AS severity
+FROM runs"""))
 def _(spark, d):
     return catalog(spark, d).runs.select(
         "id", P.severity(F.col("listings_seen"), F.col("scraper_name") == "error").alias("severity")
