@@ -5,7 +5,7 @@ template. A file looks up its own rarest licence words; hits of one template tha
 are intersected, and an alignment counts only if the template's mandatory key phrase stands there word for word. Document
 frequencies are counted over all documents. Besides, three base phrases are located wherever their words stand in a row.
 
-Both word lists are small fixed data, so the joins with them are broadcast by Spark's own size threshold.
+The index is a small fixed table of some dozens of rows, whatever the input, so it is broadcast.
 
 Defined results: null or empty text has no words, no labels, null word places and score 0; repeated rows and rows with a
 null id get a result each; other columns of the input are not read.
@@ -104,7 +104,7 @@ def template_labels(words: DataFrame) -> DataFrame:
         F.slice("words", F.greatest(F.col("at") - reach, F.lit(0)) + 1, 2 * reach).alias("around"),
     )
     index = spark.createDataFrame(postings, INDEX)
-    aligned = hits.join(index, "word").withColumn("begin", F.col("at") - F.col("place"))
+    aligned = hits.join(F.broadcast(index), "word").withColumn("begin", F.col("at") - F.col("place"))
     agreed = aligned.groupBy(*KEY, "template", "begin").agg(
         F.count_distinct("word").alias("n_hits"),
         *[F.first(c).alias(c) for c in ("from", "around", "label", "template_words", "weights", "key_first", "key_last", "n_rare")],
