@@ -75,7 +75,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is the empty text."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = texts if pa.types.is_large_binary(texts.type) else pc.fill_null(texts, "").cast(pa.large_string())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and data.size else np.empty(0, np.uint8)
