@@ -4,7 +4,7 @@
    for it; only these are compared.
 2. A class has ``BANDS * ROWS`` MinHash values. Each band of values is a bucket key. The same values, folded into a parity
    bitmap, are its odd sketch: the population count of two sketches' XOR estimates how many values differ.
-3. Within a bucket every member meets a few pivots, and pairs whose sketches agree well enough are checked on their full
+3. Within a bucket every member meets two pivots, the least and the greatest, and pairs whose sketches agree well enough are checked on their full
    sets. The links found give groups.
 4. Members of one bucket that are still in different groups then meet each other, in blocks, with the same sketch test and
    full check. So every pair in a bucket is either checked, ruled out by its sketch or already joined through links, and
@@ -24,8 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm import arrays
@@ -34,11 +33,10 @@ from pricetide.sources.lineage import cut
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
-SKETCH_BITS = 1024
+SKETCH_BITS = 512
 #: least estimated similarity of a pair that is checked
 FLOOR = 0.60
 LEAST = 85
-PIVOTS = 3
 BLOCK = 512
 
 _rng = np.random.Generator(np.random.PCG64(20240517))
@@ -75,9 +73,9 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return arrays.mix((arrays.mix(rows + BAND_SALTS) * BAND_SALTS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-def odd_sketch(least: np.ndarray) -> bytes:
+def odd_sketch(least: np.ndarray) -> np.ndarray:
     places = arrays.mix(least.astype(np.uint64) ^ PLACE_SALTS) % np.uint64(SKETCH_BITS)
-    return np.packbits((np.bincount(places.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def most_differing_bits(floor: float = FLOOR) -> int:
@@ -86,30 +84,94 @@ def most_differing_bits(floor: float = FLOOR) -> int:
     return int(SKETCH_BITS * (1 - np.exp(-4 * values * (1 - floor) / SKETCH_BITS)) / 2)
 
 
-SIGNATURE = ("doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch binary")
+SIGNATURE = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>"
+SET = ["n_shingles", "set_a", "set_b"]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
+    """Set size, two sums that identify the set, band keys and sketch of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in arrays.slices(batches, "text"):
                 sets = shingle_sets(batch.column("text"))
                 least = [samples(s) if len(s) else None for s in sets]
-                total = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                mixed = [int(arrays.mix(s * arrays.BASE + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+                sums = [[int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (s, arrays.mix(s * arrays.BASE))] for s in sets]
+                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(total, pa.int64()), pa.array(mixed, pa.int64()),
-                    pa.array([[] if x is None else band_keys(x).view(np.int64) for x in least], pa.list_(pa.int64())),
-                    pa.array([b"" if x is None else odd_sketch(x) for x in least], pa.binary()),
-                ], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64()),
+                    pa.array([[] if x is None else band_keys(x).view(np.int64) for x in least], longs),
+                    pa.array([[] if x is None else odd_sketch(x) for x in least], longs),
+                ], ["doc_id", *SET, "bands", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURE)
 
 
-def close_sketches(a: str, b: str) -> F.Column:
-    """XOR population count of two sketches, eight bytes at a time, against the bound."""
-    words = [F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(SKETCH_BITS // 64)]
-    total = words[0]
-    for w in words[1:]:
-        total = total + w
+def close(a: str, b: str) -> Column:
+    """Whether the XOR of two sketches has few enough bits."""
+    total = F.lit(0)
+    for i in range(1, SKETCH_BITS // 64 + 1):
+        total = total + F.bit_count(F.element_at(a, i).bitwiseXOR(F.element_at(b, i)))
     return total <= most_differing_bits()
+
+
+def linked(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough. A text goes to the rows of its pairs; Spark may split a pivot's."""
+    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrays.slices(batches, "text_a"):
+            for part in arrays.slices(iter([batch]), "text_b"):
+                keep = []
+                pivots: dict[int, np.ndarray] = {}
+                for i, (x, y) in enumerate(zip(part.column("a").to_pylist(), shingle_sets(part.column("text_b")))):
+                    if x not in pivots:
+                        pivots = {x: shingle_sets(part.column("text_a").slice(i, 1))[0]}
+                    common = len(np.intersect1d(pivots[x], y, assume_unique=True))
+                    keep.append(100 * common >= least * (len(pivots[x]) + len(y) - common))
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def links(docs: DataFrame, classes: DataFrame, least: int = LEAST) -> DataFrame:
+    """Links between classes, enough of them to join all that are connected."""
+    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("p0"), F.max("rep").alias("p1"), F.count("*").alias("n")).filter("n > 1")
+    members = cut(buckets.join(shared, "bucket"))
+    sketches = classes.select("rep", "sketch")
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    star = members.select("rep", F.explode(F.array("p0", "p1")).alias("pivot")).filter("rep != pivot").select(*ordered("rep", "pivot")).distinct()
+    near = star.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b").filter(close("sketch_a", "sketch_b"))
+    first = cut(linked(near.select("a", "b"), texts, least))
+    grouped = members.join(components(first, "a", "b"), F.col("rep") == F.col("node"), "left").select(
+        "bucket", "rep", "n", F.coalesce("component", "rep").alias("group"))
+    apart = grouped.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("bucket")
+    rest = cut(grouped.join(apart, "bucket").join(sketches, "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+               .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    side = lambda p: rest.select("bucket", *[F.col(c).alias(p + c) for c in ("rep", "group", "sketch", "block")], "blocks")
+    left = side("l_").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = side("r_").withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    across = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("other") == F.col("r_block")) & (F.col("mine") == F.col("l_block"))
+                       & (F.col("l_rep") < F.col("r_rep")) & (F.col("l_group") != F.col("r_group")) & close("l_sketch", "r_sketch"))
+    new = across.select(*ordered("l_rep", "r_rep")).distinct().join(star, ["a", "b"], "left_anti")
+    return first.union(linked(new, texts, least))
+
+
+def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """One row per document: its set size, the least document of its group, and whether it is that document."""
+    signed = cut(signatures(docs))
+    classes = cut(signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*SET).agg(
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    groups = components(links(docs, classes, least), "a", "b")
+    of_class = classes.select(*SET, "rep").join(groups, F.col("rep") == F.col("node"), "left").select(*SET, F.coalesce("component", "rep").alias("group"))
+    return signed.select("doc_id", *SET).join(of_class, SET, "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id")).alias("component_id"),
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
