@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.rows import KEY, keyed
@@ -28,25 +28,35 @@ ORDERS = (1, 2)
 DEVIATIONS = 4.0
 SPACE = r"[\x20\x09-\x0D]+"
 #: strict rules of a trusted document
-TRUST = "n_words >= 50 and n_symbols * 50 <= n_words and n_dup_lines = 0 and n_repeat_words * 10 <= n_words and n_upper * 5 <= word_chars"
+TRUST = "n_words >= 50 and n_symbols * 50 <= n_words and n_dup_lines = 0 and n_upper * 5 <= n_chars and n_different * 5 >= n_words"
 
 
 def with_words(docs: DataFrame) -> DataFrame:
     return keyed(docs).select("doc_id", *KEY, "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
 
 
-def _removed(pattern: str):
+def _removed(pattern: str) -> Column:
     return (F.length("text") - F.length(F.regexp_replace("text", pattern, ""))).cast("long")
 
 
-def measures(words: DataFrame) -> DataFrame:
-    """Surface counts of each whole text.
+def with_surface(words: DataFrame) -> DataFrame:
+    """Counts that need no windows, and whether they meet the rules of a trusted document."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    repeated = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
+    return words.withColumns({
+        "n_words": F.size("words").cast("long"), "n_symbols": _removed(r"[#*$%&|<>]+"), "n_dup_lines": repeated.cast("long"),
+        "n_upper": _removed(r"\p{Lu}+"), "n_different": F.size(F.array_distinct("words")), "n_chars": F.length("text"),
+    }).withColumn("trusted", F.expr(TRUST))
+
+
+def measures(surface: DataFrame) -> DataFrame:
+    """All counts of each whole text.
 
     A 3-word window becomes one number, its hash above and its place below, so that sorting numbers brings equal windows
     together and keeps their places; as many low bits are given to places as the text needs. Each repeated window adds the
     words that the previous one does not cover.
     """
-    sized = words.withColumn("n", F.size("words")).withColumn("bits", F.ceil(F.log2(F.col("n") + 2)).cast("int"))
+    sized = surface.withColumn("n", F.size("words")).withColumn("bits", F.ceil(F.log2(F.col("n") + 2)).cast("int"))
     packed = sized.withColumn("packed", F.expr(
         "case when n >= 3 then sort_array(transform(sequence(0, n - 3), i -> "
         "shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]), bits) | cast(i as bigint))) else array() end"))
@@ -56,11 +66,9 @@ def measures(words: DataFrame) -> DataFrame:
         "(j < n - 3 and shiftright(packed[j + 1], bits) = shiftright(x, bits))), x -> x & (shiftleft(1L, bits) - 1)))"))
     repeats = F.expr("aggregate(places, named_struct('last', -3L, 'total', 0L), "
                      "(a, p) -> named_struct('last', p, 'total', a.total + least(3L, p - a.last)), a -> a.total)")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return places.select(
-        "doc_id", *KEY, "words", F.col("n").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        _removed(r"[#*$%&|<>]+").alias("n_symbols"), F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
-        repeats.alias("n_repeat_words"), _removed(r"\p{Lu}+").alias("n_upper"),
+        "doc_id", *KEY, "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines",
+        repeats.alias("n_repeat_words"), "trusted",
     )
 
 
@@ -74,11 +82,10 @@ def grams(words: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return words.select(*kept, F.explode(chosen).alias("bucket"))
 
 
-def ratio_table(measured: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def ratio_table(surface: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Log ratio of the trusted to the raw multinomial, with one added to each bucket; ``buckets`` rows at most."""
-    trusted = measured.select(F.expr(TRUST).alias("trusted"), "words")
-    counts = grams(trusted, buckets).groupBy("bucket").agg(
-        F.count("*").alias("raw"), F.count(F.when(F.col("trusted"), 1)).alias("target"))
+    counts = cut(grams(surface.select("trusted", "words"), buckets).groupBy("bucket").agg(
+        F.count("*").alias("raw"), F.count(F.when(F.col("trusted"), 1)).alias("target")))
     totals = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     raw, target = totals["raw"] or 0, totals["target"] or 0
     ratio = F.log((F.col("target") + 1.0) / (target + buckets)) - F.log((F.col("raw") + 1.0) / (raw + buckets))
@@ -87,14 +94,15 @@ def ratio_table(measured: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def score(docs: DataFrame, deviations: float = DEVIATIONS, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: its measures, its mean log ratio, and whether it is kept."""
-    measured = measures(with_words(docs))
-    table = ratio_table(measured, buckets)
-    narrow = measured.drop("words")
-    ratios = grams(measured.select(*KEY, "words"), buckets).join(F.broadcast(table), "bucket").groupBy(*KEY).agg(F.avg("ratio").alias("llr"))
+    words = with_words(docs)
+    surface = with_surface(words)
+    table = ratio_table(surface, buckets)
+    narrow = measures(surface)
+    ratios = grams(words.select(*KEY, "words"), buckets).join(F.broadcast(table), "bucket").groupBy(*KEY).agg(F.avg("ratio").alias("llr"))
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     scored = cut(narrow.join(ratios, KEY, "left").select(
         *[c for c in narrow.columns if c not in KEY], F.round(F.coalesce("llr", F.lit(0.0)), 9).alias("score"),
-        failed.alias("base_failed"), F.expr(TRUST).alias("trusted"),
+        failed.alias("base_failed"),
     ))
     trusted = scored.filter("trusted").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation")).first()
     least = -math.inf if trusted["mean"] is None else round(trusted["mean"] - deviations * trusted["deviation"], 6)

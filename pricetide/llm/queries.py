@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pricetide.llm import decontaminate, licenses, minhash, packing, quality, secrets
+from pricetide.llm import decontaminate, licenses, minhash, packing, quality, secrets, substrings
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -41,6 +42,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.removed_words(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licenses": op2_licenses,
@@ -48,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op6_quality": op6_quality,
     "op9_packing": op9_packing,
+    "op10_substrings": op10_substrings,
 }
 ORACLES: dict[str, str] = {}
