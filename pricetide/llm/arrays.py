@@ -97,10 +97,11 @@ def words(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = False)
     begins[edges] = inside[edges]
     stops[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    return Words(_hashes(data, starts, ends), starts, ends, np.searchsorted(starts, at), data, at)
+    return Words(byte_hashes(data, starts, ends), starts, ends, np.searchsorted(starts, at), data, at)
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes ``starts[i]:ends[i]``, given in order."""
     out = np.empty(len(starts), np.uint64)
     first = 0
     with np.errstate(over="ignore"):

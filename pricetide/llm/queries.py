@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontaminate, licenses, minhash, packing, quality, secrets, substrings
+from pricetide.llm import decontaminate, language, licenses, minhash, packing, quality, secrets, substrings, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -32,10 +32,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_minhash": op3_minhash,
     "op4_secrets": op4_secrets,
+    "op5_language": op5_language,
     "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
     "op10_substrings": op10_substrings,
 }
