@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontaminate, language, licenses, minhash, packing, quality, secrets, substrings, toxicity
+from pricetide.llm import decontaminate, language, licenses, minhash, packing, pii, quality, secrets, substrings, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -44,6 +44,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
+    "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_substrings": op10_substrings,
 }
