@@ -30,7 +30,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """``node, component``: the least node reachable, for every node that has a link to another."""
+    """``node, component``: the least node reachable, for every node that is linked to a lesser one; the others are their own."""
     now = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter(F.col("a") != F.col("b")).distinct())
     before = None
     while True:
