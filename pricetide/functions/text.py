@@ -1,12 +1,14 @@
 """Product text normalization as native column expressions.
 
-Patterns carry ``(?U)`` so that blanks, digits and word boundaries follow Unicode. Brand detection guards each
-pattern with a plain substring test on the lower-cased name, which rejects most brands without a regex. Word lists
-are constant arrays, so an expression stays small however long the list is.
+Patterns carry ``(?U)`` so that blanks, digits and word boundaries follow Unicode. Each is a literal of its own, compiled
+once, and is guarded by a plain substring test, which rejects most words without a regex.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,14 +22,14 @@ def longest_first(words: list[str]) -> list[str]:
 BRANDS = longest_first(KNOWN_BRANDS)
 
 
-def _listed(words: list[str]) -> Column:
-    """Constant array of (word, lower-case word)."""
-    return F.array(*[F.struct(F.lit(w).alias("word"), F.lit(w.lower()).alias("low")) for w in words])
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _as_word(text: Column, flags: str) -> Column:
-    """Pattern for ``text`` standing as a word. Compiled only for words that already passed a substring test."""
-    return F.concat(F.lit(f"(?{flags})\\b\\Q"), text, F.lit("\\E\\b"))
+def _as_word(text: str, flags: str) -> Column:
+    """Pattern for ``text`` standing as a word."""
+    return F.lit(f"(?{flags})\\b\\Q{text}\\E\\b")
 
 
 def strip(text: Column) -> Column:
@@ -40,11 +42,13 @@ def nonempty(text: Column) -> Column:
 
 def brand(name: Column) -> Column:
     """Longest known brand standing as a word anywhere; otherwise a brand the name starts with."""
-    low = F.lower(name)
-    inside = F.filter(_listed(BRANDS), lambda b: low.contains(b["low"]))
-    as_word = F.filter(inside, lambda b: F.rlike(name, _as_word(b["word"], "iU")))
-    as_prefix = F.filter(inside, lambda b: low.startswith(b["low"]))
-    return F.coalesce(F.try_element_at(as_word, F.lit(1))["word"], F.try_element_at(as_prefix, F.lit(1))["word"])
+
+    def found(texts: Column) -> Column:
+        full, low = texts["full"], texts["low"]
+        as_word = [F.when(low.contains(b.lower()) & F.rlike(full, _as_word(b, "iU")), F.lit(b)) for b in BRANDS]
+        return F.coalesce(*as_word, *[F.when(low.startswith(b.lower()), F.lit(b)) for b in BRANDS])
+
+    return let(F.struct(name.alias("full"), F.lower(name).alias("low")), found)
 
 
 def model(name: Column, found_brand: Column) -> Column:
@@ -52,9 +56,14 @@ def model(name: Column, found_brand: Column) -> Column:
 
     The pattern is anchored at the start, so only the first mention can match.
     """
-    first_mention = F.concat(F.lit(r"(?isU)^(.*?)\b\Q"), found_brand, F.lit(r"\E\b"))
-    cut = strip(F.regexp_replace(name, first_mention, F.lit("$1")))
-    return F.coalesce(nonempty(cut), name)
+
+    def without(x: Column) -> Column:
+        cuts = [
+            F.when(x["brand"] == b, F.regexp_replace(x["full"], F.lit(rf"(?isU)^(.*?)\b\Q{b}\E\b"), F.lit("$1"))) for b in BRANDS
+        ]
+        return F.coalesce(nonempty(strip(F.coalesce(*cuts))), x["full"])
+
+    return let(F.struct(name.alias("full"), found_brand.alias("brand")), without)
 
 
 def brand_or(given: Column, name: Column) -> Column:
@@ -72,11 +81,11 @@ def _without_words(low: Column, words: list[str]) -> Column:
     A word that does not occur costs a substring test and no regex. Deleting all words with one alternation
     would differ where a deletion joins text.
     """
-    listed = F.array(*[F.lit(w.lower()) for w in longest_first(words)])
-    return F.aggregate(
-        listed, low,
-        lambda text, w: F.when(text.contains(w), F.regexp_replace(text, _as_word(w, "U"), F.lit(""))).otherwise(text),
-    )
+
+    def delete(text: Column, word: str) -> Column:
+        return let(text, lambda t: F.when(t.contains(word), F.regexp_replace(t, _as_word(word, "U"), F.lit(""))).otherwise(t))
+
+    return reduce(delete, longest_first([w.lower() for w in words]), low)
 
 
 def normalize_strict(text: Column) -> Column:

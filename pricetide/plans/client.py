@@ -75,15 +75,16 @@ def compare_pivot(summaries: DataFrame, picked: DataFrame, *, slots: int = COMPA
     return pairs.groupBy("attribute").agg(*columns).orderBy("attribute")
 
 
-def history_pivot(history: DataFrame, retailer_names: list[str]) -> DataFrame:
-    """One row per product and time, one column per named retailer; a later point overwrites."""
-    last = F.max_by("price", F.struct("listing_id", "obs_id"))
-    return (
-        history.filter(F.col("observed_at").isNotNull())
-        .groupBy("product_id", "observed_at")
-        .pivot("retailer_name", retailer_names)
-        .agg(last)
-    )
+def history_pivot(history: DataFrame) -> DataFrame:
+    """One row per product and time, with the price of every retailer heard then; a later point overwrites.
+
+    A map holds the retailers, so their number is not fixed in the columns.
+    """
+    heard = history.filter(F.col("observed_at").isNotNull())
+    last = heard.groupBy("product_id", "observed_at", "retailer_name").agg(
+        F.max_by("price", F.struct("listing_id", "obs_id")).alias("price"))
+    return last.groupBy("product_id", "observed_at").agg(
+        F.map_from_entries(F.collect_list(F.struct("retailer_name", "price"))).alias("prices"))
 
 
 def coverage_counts(summaries: DataFrame) -> DataFrame:

@@ -110,40 +110,36 @@ def offers(
     if product_id is not None:
         return _offer_rows(rows.filter(F.col("product_id") == F.lit(product_id)), cat.retailers)
     order = [F.col("current_price").asc_nulls_last(), F.col("listing_name").asc(), F.col("id").asc()]
-    paged = rows.orderBy(*order).offset(offset)
     if limit is not None:
-        paged = paged.limit(limit)
-    return _offer_rows(paged, cat.retailers).orderBy(
+        rows = rows.orderBy(*order).offset(offset).limit(limit)
+    elif offset:
+        # Without a limit all rows go on, so they stay spread out; only the few skipped ones are gathered.
+        skipped = rows.select("id", "current_price", "listing_name").orderBy(*order).limit(offset).select("id")
+        rows = rows.join(skipped, "id", "left_anti")
+    return _offer_rows(rows, cat.retailers).orderBy(
         F.col("current_price").asc_nulls_last(), F.col("name").asc(), F.col("offer_id").asc()
     )
 
 
-def price_history(cat: Catalog, product_ids: DataFrame | None = None) -> DataFrame:
-    """Observed prices per product and retailer as rows, by time within each offer.
-
-    A retailer without observations keeps one row with no point.
-    """
+def history_points(cat: Catalog, product_ids: DataFrame | None = None) -> DataFrame:
+    """Observed prices per product and retailer as rows in no order; a retailer without observations keeps one row with no point."""
     owned = cat.offers.select(F.col("id").alias("offer_id"), "product_id", "retailer_id")
     if product_ids is not None:
         owned = owned.join(product_ids.select(F.col("id").alias("product_id")), "product_id", "left_semi")
     named = cat.retailers.select(F.col("id").alias("retailer_id"), F.col("name").alias("retailer_name"))
     points = cat.observations.select("offer_id", "observed_at", "price", F.col("id").alias("obs_id"))
-    rows = owned.join(points, "offer_id", "left").join(named, "retailer_id")
-    heard = rows.filter(F.col("observed_at").isNotNull())
-    silent = (
-        rows.groupBy("product_id", "retailer_id", "retailer_name")
-        .agg(F.count("observed_at").alias("points"))
-        .filter(F.col("points") == 0)
-        .drop("points")
-    )
-    return (
-        heard.select(
-            "product_id", "retailer_id", "retailer_name", F.col("offer_id").alias("listing_id"),
-            "observed_at", "price", "obs_id",
-        )
-        .unionByName(silent, allowMissingColumns=True)
-        .orderBy("product_id", "retailer_id", "listing_id", "observed_at", "obs_id")
-    )
+    heard = owned.join(points.filter(F.col("observed_at").isNotNull()), "offer_id")
+    keys = ["product_id", "retailer_id"]
+    silent = owned.select(*keys).distinct().join(heard.select(*keys).distinct(), keys, "left_anti")
+    return heard.select(
+        *keys, F.col("offer_id").alias("listing_id"), "observed_at", "price", "obs_id",
+    ).unionByName(silent, allowMissingColumns=True).join(named, "retailer_id").select(
+        *keys, "retailer_name", "listing_id", "observed_at", "price", "obs_id")
+
+
+def price_history(cat: Catalog, product_ids: DataFrame | None = None) -> DataFrame:
+    """The history points, by time within each offer."""
+    return history_points(cat, product_ids).orderBy("product_id", "retailer_id", "listing_id", "observed_at", "obs_id")
 
 
 def facet_categories(cat: Catalog) -> DataFrame:

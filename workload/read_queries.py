@@ -603,16 +603,14 @@ def _(spark, d):
     return client.compare_pivot(catalog(spark, d).products, _picked(spark, d))
 
 
-PIVOT_NAMES = ["Supplier#000000001", "Supplier#000000002", "Supplier#000000003", "Supplier#000000004"]
-
-
-@query("history_pivot", with_ctes(f"""
-SELECT product_id, observed_at, {", ".join(f'arg_max(price, (listing_id, k1, k2, k3, k4)) FILTER (WHERE retailer_name = {chr(39)}{n}{chr(39)}) AS "{n}"' for n in PIVOT_NAMES)}
+@query("history_pivot", with_ctes("""
+SELECT product_id, observed_at, retailer_name, arg_max_null(price, (listing_id, k1, k2, k3, k4)) AS price
 FROM (SELECT o.product_id, r.name AS retailer_name, b.offer_id AS listing_id, b.* EXCLUDE (offer_id)
       FROM offers o JOIN retailers r ON r.id = o.retailer_id JOIN observations b ON b.offer_id = o.id)
-GROUP BY 1, 2"""))
+GROUP BY 1, 2, 3"""))
 def _(spark, d):
-    return client.history_pivot(products.price_history(catalog(spark, d)), PIVOT_NAMES)
+    pivot = client.history_pivot(products.history_points(catalog(spark, d)))
+    return pivot.select("product_id", "observed_at", F.explode("prices").alias("retailer_name", "price"))
 
 
 @query("coverage_counts", with_ctes("""

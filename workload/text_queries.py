@@ -322,10 +322,9 @@ def _(spark, d):
 
 PARTS_CTES = {
     **IDENTITY_CTES,
-    "own": "SELECT l_partkey AS pk, brand AS p_brand_name, fingerprint AS p_fp, "
-           + ", ".join(f"a_{k} AS p_{k}" for k in ALL_KEYS) + " FROM printed WHERE l_suppkey % 4 = 0",
-    "owned": "SELECT pk, any_value(p_brand_name) AS p_brand_name, any_value(p_fp) AS p_fp, "
-             + ", ".join(f"any_value(p_{k}) AS p_{k}" for k in ALL_KEYS) + " FROM own GROUP BY 1",
+    "own": "SELECT l_partkey AS pk, offer_id AS own_offer, brand AS p_brand_name, fingerprint AS p_fp, "
+           + ", ".join(f"a_{k} AS p_{k}" for k in ALL_KEYS) + " FROM printed",
+    "owned": "SELECT own.* FROM own JOIN (SELECT pk, min(own_offer) AS own_offer FROM own GROUP BY 1) USING (pk, own_offer)",
 }
 _shared = " + ".join(f"CAST(a_{k} IS NOT NULL AND p_{k} IS NOT NULL AS INTEGER)" for k in ALL_KEYS)
 _same = " + ".join(f"CAST(coalesce(a_{k} = p_{k}, false) AS INTEGER)" for k in ALL_KEYS)
@@ -339,8 +338,9 @@ SELECT offer_id, CASE WHEN brand IS NULL OR p_brand_name IS NULL THEN {BRAND_UNK
 FROM (SELECT *, {_shared} AS shared, {_same} AS same FROM printed JOIN owned ON pk = l_partkey + 1)""", **PARTS_CTES))
 def _(spark, d):
     rows = cut(printed(spark, d))
-    own = rows.filter(F.col("l_suppkey") % 4 == 0).groupBy(F.col("l_partkey").alias("pk")).agg(
-        *[F.any_value(c).alias(f"p_{c}") for c in ("brand", "fingerprint", "attributes")]
+    first = rows.groupBy("l_partkey").agg(F.min("offer_id").alias("offer_id"))
+    own = rows.join(first, ["l_partkey", "offer_id"]).select(
+        F.col("l_partkey").alias("pk"), *[F.col(c).alias(f"p_{c}") for c in ("brand", "fingerprint", "attributes")]
     )
     joined = rows.join(own, F.col("pk") == F.col("l_partkey") + 1)
     return joined.select(
