@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricetide import fixed_values as V
@@ -36,10 +37,20 @@ class IngestResult:
 
 
 def validate(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split snapshots into valid ones, with trimmed names, and rejected ones with a reason."""
-    checked = snapshots.withColumn("problem", P.snapshot_problem(F.col("name"), F.col("price"))).withColumn(
-        "name", X.strip(F.col("name"))
+    """Split snapshots into valid ones, with trimmed names, and rejected ones with a reason.
+
+    A snapshot needs a category, and a URL takes one snapshot per sequence number: of several the greatest row stays.
+    """
+    row = F.to_json(F.struct(*[F.col(n) for n in sorted(snapshots.columns)]))
+    again = F.row_number().over(W.partitionBy("url", "seq").orderBy(row.desc())) > 1
+    problem = F.coalesce(
+        P.snapshot_problem(F.col("name"), F.col("price")), F.when(F.col("category_id").isNull(), "no_category"),
+        F.when(F.col("_again"), "repeated_sequence"),
     )
+    usable = P.snapshot_problem(F.col("name"), F.col("price")).isNull() & F.col("category_id").isNotNull()
+    ranked = snapshots.filter(usable).withColumn("_again", again).unionByName(
+        snapshots.filter(~usable).withColumn("_again", F.lit(False)))
+    checked = ranked.withColumn("problem", problem).withColumn("name", X.strip(F.col("name"))).drop("_again")
     return checked.filter(F.col("problem").isNull()).drop("problem"), checked.filter(F.col("problem").isNotNull())
 
 
@@ -66,6 +77,23 @@ def new_product_id(category_id: Column, fingerprint: Column) -> Column:
     return F.concat_ws("-", category_id.cast("string"), fingerprint)
 
 
+def exact_owner(products: DataFrame) -> DataFrame:
+    """The least product of each identity, so that imported duplicates of one match no snapshot twice."""
+    return products.groupBy("category_id", "fingerprint").agg(F.min("id").alias("exact_id"))
+
+
+def duplicate_identities(products: DataFrame) -> DataFrame:
+    """Identities that several products claim, with their number."""
+    counts = products.filter(F.col("fingerprint").isNotNull()).groupBy("category_id", "fingerprint").agg(
+        F.count("*").alias("products"), F.min("id").alias("exact_id"))
+    return counts.filter(F.col("products") > 1)
+
+
+def exact_matches(snapshots: DataFrame, products: DataFrame) -> DataFrame:
+    """Identified snapshots with the product of equal category and fingerprint, if any."""
+    return snapshots.join(exact_owner(products), ["category_id", "fingerprint"], "left")
+
+
 def _known(cat: Catalog, latest: DataFrame) -> DataFrame:
     """Attach each URL's listing, latest decision, manually chosen product and exact product."""
     listing = cat.listings.select(F.col("source_url").alias("url"), F.col("id").alias("old_listing_id"))
@@ -74,14 +102,14 @@ def _known(cat: Catalog, latest: DataFrame) -> DataFrame:
     )
     products = cat.products.select("id", "category_id", "fingerprint")
     chosen = products.select(F.col("id").alias("was_product_id"), F.col("category_id").alias("chosen_category_id"))
-    exact = products.select("category_id", "fingerprint", F.col("id").alias("exact_id"))
-    return (
+    exact = exact_owner(cat.products)
+    decided_rows = (
         latest.join(listing, "url", "left")
         .withColumn("listing_id", F.coalesce("old_listing_id", X.short_hash(F.col("url"))))
         .join(decided, "listing_id", "left")
         .join(chosen, "was_product_id", "left")
-        .join(exact, ["category_id", "fingerprint"], "left")
     )
+    return exact_matches(decided_rows, cat.products)
 
 
 def _plan(decision, confidence, matcher, rationale, product) -> Column:
@@ -285,7 +313,7 @@ def merge_decisions(decisions: DataFrame, rows: DataFrame, as_of: datetime) -> D
     return refreshed.select(*decisions.columns).unionByName(added.select(*decisions.columns))
 
 
-def ingest_batch(cat: Catalog, snapshots: DataFrame, *, as_of: datetime, slices: int = 32) -> IngestResult:
+def ingest_batch(cat: Catalog, snapshots: DataFrame, *, as_of: datetime, slices: int | None = None) -> IngestResult:
     """Merge one batch of snapshots and return the next catalog."""
     c = F.col
     valid, rejected = validate(snapshots)
@@ -299,25 +327,25 @@ def ingest_batch(cat: Catalog, snapshots: DataFrame, *, as_of: datetime, slices:
     offer = cat.offers.select("listing_id", c("id").alias("offer_id"), c("status").alias("prior_status"),
                               c("current_price").alias("prior_price"))
     observed = S.latest_observation(cat.observations).select("offer_id", c("price").alias("prior_observed"))
-    keyed = rows.select("url", "listing_id").join(offer, "listing_id", "left").join(observed, "offer_id", "left")
-    prior = keyed.select(c("url").alias("key"), "listing_id", "offer_id", "prior_status", "prior_price", "prior_observed")
-    history = valid.join(prior.select(c("key").alias("url"), "listing_id", "offer_id"), "url").withColumn("key", c("url"))
-    followed = cut(changes.follow(history, prior, slices=slices).withColumn("observation_created", changes.is_change()))
+    keyed = rows.select("url", "listing_id", "creates", c("old_listing_id").isNull().alias("new_listing")).join(offer, "listing_id", "left").join(observed, "offer_id", "left")
+    carry = ["listing_id", "offer_id", "creates", "new_listing"]
+    prior = keyed.select(c("url").alias("key"), "prior_status", "prior_price", "prior_observed", *carry)
+    history = valid.withColumn("key", c("url"))
+    followed = cut(changes.follow(history, prior, slices=slices, carry=carry).withColumn("observation_created", changes.is_change()))
 
-    last_before = followed.groupBy("url").agg(F.max_by(F.struct("before"), "seq").alias("b"), F.min("seq").alias("first_seq"))
+    last_before = followed.groupBy("url").agg(F.max_by(F.struct("before"), "seq").alias("b"))
     rows = rows.join(last_before, "url").withColumn("before", c("b.before")).drop("b")
     fresh = followed.filter("observation_created").select(
         F.concat_ws("-", F.lpad(c("seq").cast("string"), 20, "0"), "run_id", F.coalesce("offer_id", "listing_id")).alias("id"),
         F.coalesce("offer_id", "listing_id").alias("offer_id"), P.timestamp(as_of).alias("observed_at"), "price",
         c("before.price").alias("previous_price"), (c("status") == "available").alias("in_stock"), "run_id", "raw_payload",
     ).select(*cat.observations.columns)
-    first = rows.select("url", "first_seq", "creates", c("old_listing_id").isNull().alias("_listing"))
-    results = followed.join(first, "url").select(
+    results = followed.select(
         "run_id", "retailer_id", "url", "seq",
-        ((c("seq") == c("first_seq")) & c("_listing")).alias("listing_created"),
-        ((c("seq") == c("first_seq")) & c("offer_id").isNull()).alias("offer_created"),
+        (c("is_first") & c("new_listing")).alias("listing_created"),
+        (c("is_first") & c("offer_id").isNull()).alias("offer_created"),
         "observation_created",
-        ((c("seq") == c("first_seq")) & c("creates")).alias("product_created"),
+        (c("is_first") & c("creates")).alias("product_created"),
     )
     updated = cat.with_tables(
         listings=merge_listings(cat.listings, rows, as_of),

@@ -12,6 +12,9 @@ from pricetide.fixed_values import SEED_CATEGORIES, SEED_RETAILERS
 ENUM_COLUMNS = {"listings": ["status"], "offers": ["status"], "runs": ["status"], "decisions": ["decision"]}
 ALLOWED = {"listings": K.PRODUCT_STATUSES, "offers": K.PRODUCT_STATUSES, "runs": K.RUN_STATUSES, "decisions": K.DECISIONS}
 # Tables emptied by clear_catalog; retailers, categories and runs stay.
+VERSIONS = "version long, history_from long"
+#: files that one day of one version is split into at most
+DAY_FILES = 4
 CLEARED = ("products", "listings", "offers", "observations", "decisions")
 
 
@@ -31,39 +34,67 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     return normalize_enums(name, spark.read.schema(K.TABLE_SCHEMAS[name]).parquet(path))
 
 
+def typed(name: str, rows: DataFrame) -> DataFrame:
+    """Rows of a relational table in the types of the catalog table: JSON text becomes a map, ids take the catalog's type,
+    columns that the source lacks are null."""
+    have = {n.lower(): n for n in rows.columns}
+
+    def column(field: T.StructField) -> Column:
+        if field.name not in have:
+            return F.lit(None).cast(field.dataType)
+        value = F.col(f"`{have[field.name]}`")
+        if isinstance(field.dataType, T.MapType) and isinstance(rows.schema[have[field.name]].dataType, T.StringType):
+            return F.from_json(value, field.dataType)
+        return value.cast(field.dataType)
+
+    return rows.select(*[column(f).alias(f.name) for f in K.TABLE_SCHEMAS[name]])
+
+
 def read_jdbc(
     spark: SparkSession, name: str, *, url: str, dbtable: str, partition_column: str, lower: int, upper: int,
     partitions: int, properties: dict[str, str] | None = None,
 ) -> DataFrame:
-    """A catalog table from a relational database, split over ``partition_column``."""
+    """A catalog table from a relational database, split over ``partition_column``, in the table's own types."""
     reader = spark.read.format("jdbc").options(
         url=url, dbtable=dbtable, partitionColumn=partition_column, lowerBound=lower, upperBound=upper,
         numPartitions=partitions, **(properties or {}),
     )
-    return normalize_enums(name, reader.load())
+    return normalize_enums(name, typed(name, reader.load()))
 
 
-def publish(cat: K.Catalog, base: str, version: int, *, new_observations: DataFrame | None = None) -> None:
+def publish(cat: K.Catalog, base: str, version: int, *, new_observations: DataFrame, restart_history: bool = False) -> None:
     """Write the next catalog version and make it current.
 
-    State tables go to a folder of their own version. Observations are append-only: each version writes only its
-    new rows, split by day. The row added to the version log last is the commit; a rerun of a failed attempt
-    overwrites the same folders.
+    State tables go to a folder of their own version. Observations are append-only: each version writes only
+    ``new_observations``, split by day; a version that changes no history passes an empty frame. ``restart_history`` makes
+    this version the first whose observations count: a first version, which writes them all, or a cleared catalog. The row
+    added to the version log last is the commit; a rerun of a failed attempt overwrites the same folders.
     """
     spark = cat.products.sparkSession
     for name, df in cat.items():
         if name != "observations":
             df.write.mode("overwrite").parquet(f"{base}/{name}/version={version}")
-    fresh = cat.observations if new_observations is None else new_observations
-    (
-        fresh.withColumn("day", F.to_date("observed_at")).write.mode("overwrite").partitionBy("day")
-        .parquet(f"{base}/observations/version={version}")
-    )
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{base}/versions")
+    # one shuffle by day first, so that a version has a few files a day and not one for every task
+    fresh = new_observations.select(*K.OBSERVATIONS.names).withColumn("day", F.to_date("observed_at"))
+    fresh.repartition("day", F.pmod(F.xxhash64("id"), F.lit(DAY_FILES))).write.mode("overwrite").partitionBy("day").parquet(
+        f"{base}/observations/version={version}")
+    starts = version if restart_history else None
+    spark.createDataFrame([(version, starts)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{base}/versions")
+
+
+def publish_first(cat: K.Catalog, base: str, version: int = 1) -> None:
+    """Write a catalog with its whole history as the version that history starts at."""
+    publish(cat, base, version, new_observations=cat.observations, restart_history=True)
+
+
+def publish_cleared(cat: K.Catalog, base: str, version: int) -> None:
+    """Write a cleared catalog; observations of earlier versions no longer count."""
+    cleared = clear_catalog(cat)
+    publish(cleared, base, version, new_observations=cleared.observations, restart_history=True)
 
 
 def current_version(spark: SparkSession, base: str) -> int | None:
-    return spark.read.schema("version long").parquet(f"{base}/versions").agg(F.max("version")).first()[0]
+    return spark.read.schema(VERSIONS).parquet(f"{base}/versions").agg(F.max("version")).first()[0]
 
 
 def load(spark: SparkSession, base: str, version: int | None = None) -> K.Catalog:
@@ -75,7 +106,10 @@ def load(spark: SparkSession, base: str, version: int | None = None) -> K.Catalo
     }
     stored = T.StructType([*K.OBSERVATIONS.fields, T.StructField("version", T.LongType()), T.StructField("day", T.DateType())])
     observations = spark.read.schema(stored).parquet(f"{base}/observations")
-    committed = observations.filter(F.col("version") <= at)
+    log = spark.read.schema(VERSIONS).parquet(f"{base}/versions").filter(F.col("version") <= at)
+    starts = log.agg(F.max("history_from")).first()[0] or 0
+    committed = observations.filter(F.col("version").between(starts, at) & F.col("version").isin(
+        [r["version"] for r in log.filter(F.col("version") >= starts).select("version").distinct().collect()]))
     tables["observations"] = committed.select(*K.OBSERVATIONS.names)
     return K.Catalog(**tables)
 

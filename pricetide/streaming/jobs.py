@@ -27,7 +27,7 @@ def snapshot_stream(spark: SparkSession, path: str, *, files_per_trigger: int =
 
 
 def ingest_stream(
-    snapshots: DataFrame, base: str, checkpoint: str, *, clock, first_version: int = 2, slices: int = 32
+    snapshots: DataFrame, base: str, checkpoint: str, *, clock, first_version: int = 2, slices: int | None = None
 ) -> StreamingQuery:
     """Merge each micro-batch into the catalog store at ``base`` as its next version.
 
@@ -48,7 +48,7 @@ def ingest_stream(
     )
 
 
-def change_stream(snapshots: DataFrame, out: str, checkpoint: str, *, slices: int = 32) -> StreamingQuery:
+def change_stream(snapshots: DataFrame, out: str, checkpoint: str, *, slices: int | None = None) -> StreamingQuery:
     """Keep only snapshots that change price or status per URL; read them with ``changed``.
 
     The state, one row per URL, is written once per micro-batch: a crawl touches most URLs anyway. Within a

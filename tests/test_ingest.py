@@ -12,6 +12,7 @@ from conftest import NOW, table
 from pricetide import schemas
 from pricetide.operators import changes, ingest, runs
 from pricetide.plans import review
+from pricetide.sources.lineage import cut
 from pricetide.sources import catalog_store
 
 NAME = "ASUS GeForce RTX 5070 Ti OC 16GB"
@@ -41,7 +42,7 @@ def only(df):
 
 def settle(spark, cat, path):
     """Write and reload, so later steps start from files."""
-    catalog_store.publish(cat, str(path), 1)
+    catalog_store.publish_first(cat, str(path))
     return catalog_store.load(spark, str(path))
 
 
@@ -210,7 +211,7 @@ def test_clear_and_seed(spark, seed):
 
 def test_publish_reads_only_committed_versions(spark, seed, tmp_path):
     base = str(tmp_path / "store")
-    catalog_store.publish(seed, base, 1)
+    catalog_store.publish_first(seed, base)
     extra = seed.observations.limit(1).withColumn("id", F.lit("new"))
     extra.withColumn("day", F.to_date("observed_at")).write.partitionBy("day").parquet(f"{base}/observations/version=2")
     assert catalog_store.load(spark, base).observations.count() == 6
@@ -224,3 +225,52 @@ def test_enum_names_are_normalized(spark):
     out = catalog_store.normalize_enums("offers", raw)
     assert [r.status for r in out.collect()] == ["end_of_life", "available", "odd"]
     assert [r.status for r in catalog_store.bad_enum_rows("offers", out).collect()] == ["odd"]
+
+
+def test_store_keeps_one_history(spark, seed, tmp_path):
+    """Publishing again, without new rows, after a clear, and reading older versions."""
+    base, none = str(tmp_path / "store"), seed.observations.limit(0)
+    catalog_store.publish_first(seed, base)
+    catalog_store.publish(catalog_store.load(spark, base), base, 2, new_observations=none)
+    assert catalog_store.load(spark, base).observations.count() == 6
+    catalog_store.publish_cleared(catalog_store.load(spark, base), base, 3)
+    cleared = catalog_store.load(spark, base)
+    assert all(getattr(cleared, n).count() == 0 for n in catalog_store.CLEARED) and cleared.runs.count() == 2
+    extra = seed.observations.limit(2)
+    catalog_store.publish(seed, base, 4, new_observations=extra)
+    assert catalog_store.load(spark, base).observations.count() == 2
+    assert catalog_store.load(spark, base, version=2).observations.count() == 6
+
+
+def test_relational_rows_take_catalog_types(spark):
+    raw = spark.createDataFrame([(7, "P", 1, '{"vram_gb": "12"}', 1)], "ID bigint, canonical_name string, category_id int, attributes string, is_active int")
+    row = catalog_store.typed("products", raw).first()
+    assert row.attributes == {"vram_gb": "12"} and row.id == "7" and row.is_active is True and row.brand is None
+
+
+def test_duplicate_identities_match_once(spark, start):
+    once = ingest.ingest_batch(start, snaps(spark, dict()), as_of=NOW).catalog
+    twin = once.products.withColumn("id", F.concat(F.lit("z"), "id"))
+    doubled = once.with_tables(products=cut(once.products.unionByName(twin)))
+    assert only(ingest.duplicate_identities(doubled.products)).products == 2
+    done = ingest.ingest_batch(doubled, snaps(spark, dict(price=1111.0, seq=2, run_id="run2")), as_of=NOW + timedelta(hours=1))
+    assert (done.catalog.listings.count(), done.catalog.offers.count(), done.results.count(), done.new_observations.count()) == (1, 1, 1, 1)
+
+
+def test_no_category_and_repeated_sequence_are_rejected(spark, start):
+    rows = [dict(url="https://r1/1", category_id=None), dict(url="https://r1/2", seq=5, price=10.0), dict(url="https://r1/2", seq=5, price=20.0)]
+    done = ingest.ingest_batch(start, snaps(spark, *rows), as_of=NOW)
+    assert sorted(r.problem for r in done.rejected.collect()) == ["no_category", "repeated_sequence"]
+    row = only(done.results)
+    assert row.listing_created and row.offer_created and row.product_created
+    assert done.catalog.products.count() == done.catalog.offers.count() == 1
+
+
+def test_no_shuffle_by_key_alone_over_all_snapshots(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("key"), F.col("id").alias("seq"),
+                                    (F.col("id") % 7).cast("double").alias("price"), F.lit("available").alias("status"))
+    prior = spark.createDataFrame([], "key long, prior_status string, prior_price double, prior_observed double")
+    out = changes.follow(rows, prior, slices=8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(key" in line and "_slice" not in line.split("]")[0]]
+    assert out.count() == 4000 and len(wide) <= 2, plan  # one row per stretch, and the stored state

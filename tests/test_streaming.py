@@ -48,7 +48,7 @@ def test_change_stream_equals_batch(spark, tmp_path):
 def test_ingest_stream_equals_batches(spark, tmp_path):
     start = schemas.empty_catalog(spark).with_tables(categories=table(spark, "categories", [dict(id=1, name="Graphics Cards")]))
     src, store = str(tmp_path / "in"), str(tmp_path / "store")
-    catalog_store.publish(start, store, 1)
+    catalog_store.publish_first(start, store)
     clock = jobs.fixed_clock(NOW, timedelta(hours=6))
     for number, rows in enumerate(BATCHES):
         batch(spark, number, rows).coalesce(1).write.mode("append").parquet(src)
@@ -56,7 +56,7 @@ def test_ingest_stream_equals_batches(spark, tmp_path):
     streamed = catalog_store.load(spark, store)
     assert catalog_store.current_version(spark, store) == 3
     base = str(tmp_path / "by-hand")
-    catalog_store.publish(start, base, 1)
+    catalog_store.publish_first(start, base)
     for number, rows in enumerate(BATCHES):
         done = ingest.ingest_batch(catalog_store.load(spark, base), batch(spark, number, rows), as_of=clock(number), slices=1)
         catalog_store.publish(done.catalog, base, number + 2, new_observations=done.new_observations)
