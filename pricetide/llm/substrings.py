@@ -27,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm import arrays
+from pricetide.llm.texts import packed, unpacked
 from pricetide.sources.lineage import cut
 
 WINDOW = 13
@@ -80,24 +80,6 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     return docs.filter("doc_id is not null").mapInArrow(run, "doc_id bigint, anchor bigint")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """Rows with their text compressed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=1).compress
-        for batch in arrays.slices(batches, "text"):
-            blobs = [compress((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "blob"])
-
-    return docs.mapInArrow(run, "doc_id bigint, blob binary")
-
-
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in arrays.slices(batches, "blob"):
-        decompress = zstandard.ZstdDecompressor().decompress
-        yield batch, [decompress(b) for b in batch.column("blob").to_pylist()]
-
-
 PASSAGE = "ref bigint, spread int, doc_id bigint, text_key bigint, start bigint, passage binary"
 
 
@@ -189,11 +171,12 @@ class SuffixAutomaton:
         return out
 
 
-FOUND = "doc_id bigint, text_key bigint, spans array<struct<a:bigint,b:bigint>>, rest array<struct<hash:bigint,at:bigint>>"
+FOUND = "doc_id bigint, text_key bigint, a bigint, b bigint, hash bigint, settled boolean"
 
 
 def matches(stretches: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Removed stretches of each passage, and its windows that its reference does not hold."""
+    """Stretches of each passage that its reference holds, settled, and each window that it does not, by its hash. Settled
+    rows get a hash of their own, so that they spread."""
     own = F.col("doc_id") == F.col("ref")
     salts = F.when(own, F.sequence(F.lit(0), F.col("spread") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("spread")).cast("int")))
     dealt = stretches.withColumn("salt", F.explode(salts)).withColumn("streamed", ~own)
@@ -204,7 +187,7 @@ def matches(stretches: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, automaton, whole, pending = None, SuffixAutomaton(), set(), []
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[tuple] = []
             columns = [batch.column(c).to_pylist() for c in (*key, "streamed", "doc_id", "text_key", "start", "passage")]
             for ref, spread, salt, streamed, doc_id, text, start, passage in zip(*columns):
                 if current != (ref, spread, salt):
@@ -215,9 +198,9 @@ def matches(stretches: DataFrame, window: int = WINDOW) -> DataFrame:
                         pending.append(passage)
                     continue
                 words = passage.split(b" ")
-                spans, rest = [], []
+                spans: list[list[int]] = []
                 if passage in whole:
-                    spans.append({"a": start, "b": start + len(words)})
+                    spans.append([start, start + len(words)])
                 else:
                     if automaton is None:
                         automaton = SuffixAutomaton()
@@ -226,16 +209,14 @@ def matches(stretches: DataFrame, window: int = WINDOW) -> DataFrame:
                     for end, n in enumerate(automaton.statistics(words)[window - 1 :], start + window):
                         if n < window:
                             run_of = b" ".join(words[end - window - start : end - start])
-                            rest.append({"hash": text_key(run_of), "at": end - window})
-                        elif spans and spans[-1]["b"] >= end - window:
-                            spans[-1]["b"] = end
+                            rows.append((doc_id, text, end - window, end, text_key(run_of), False))
+                        elif spans and spans[-1][1] >= end - window:
+                            spans[-1][1] = end
                         else:
-                            spans.append({"a": end - window, "b": end})
-                for column, value in zip(rows, (doc_id, text, spans, rest)):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])),
-                     pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "text_key", "spans", "rest"])
+                            spans.append([end - window, end])
+                rows += [(doc_id, text, a, b, text_key(b"%d %d %d" % (doc_id, a, b)), True) for a, b in spans]
+            kinds = [pa.int64()] * 5 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], [c.split()[0] for c in FOUND.split(", ")])
 
     return dealt.select(*key, "streamed", "doc_id", "text_key", "start", "passage").mapInArrow(run, FOUND)
 
@@ -246,16 +227,14 @@ CLEANED = "doc_id bigint, n_words bigint, n_removed bigint, kept binary"
 def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: the kept words of every document, joined by a space."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = cut(anchors(docs, window, gram).groupBy("anchor").agg(
-        F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("ref < last").select(
+    texts = packed(docs)
+    shared = cut(anchors(docs, window, gram).groupBy("anchor").agg(F.min("doc_id").alias("ref"), F.count("*").alias("n")).filter("n > 1").select(
         "anchor", "ref", F.expr(f"cast(power(2, ceil(log2(greatest(1, n / {TASK_DOCUMENTS})))) as int)").alias("spread")))
     found = anchors(docs, window, gram).join(shared, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "ref", "spread")).alias("found"))
-    stretches = passages(packed(docs).join(found, "doc_id"), window, gram)
-    matched = cut(matches(stretches, window))
-    rest = matched.select("doc_id", "text_key", F.explode("rest").alias("w")).select("doc_id", "text_key", "w.hash", F.col("w.at").alias("a"))
-    repeated = rest.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("hash", "least")
-    more = rest.join(repeated, "hash").filter("doc_id > least").select("doc_id", "text_key", "a", (F.col("a") + window).alias("b"))
-    spans = matched.select("doc_id", "text_key", F.explode("spans").alias("s")).select("doc_id", "text_key", "s.a", "s.b").union(more)
+    # one exchange by hash serves the count and the join, and one exchange of the texts serves this and the last join
+    matched = matches(passages(texts.join(found, "doc_id"), window, gram), window).repartition("hash")
+    repeated = matched.filter("not settled").groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    spans = matched.join(repeated.select("hash", "least"), "hash", "left").filter("settled or doc_id > least")
     per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("text_key", "a", "b")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,4 +256,4 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], [c.split()[0] for c in CLEANED.split(", ")])
 
-    return packed(docs).join(per_doc, "doc_id", "left").mapInArrow(run, CLEANED)
+    return texts.join(per_doc, "doc_id", "left").mapInArrow(run, CLEANED)
