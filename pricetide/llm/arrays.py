@@ -59,8 +59,8 @@ class Words:
     text_at: np.ndarray
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in slices whose texts hold about ``SLICE_BYTES`` bytes."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices whose texts hold about ``size`` bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -68,7 +68,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         first = 0
         while first < batch.num_rows:
             base = at[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(at, base + SLICE_BYTES, "right")))
+            last = max(first + 1, int(np.searchsorted(at, base + size, "right")))
             yield batch.slice(first, last - first)
             first = last
 

@@ -52,9 +52,10 @@ _UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ"
 PATTERN = re.compile(
     r"(?P<email>[\w+](?:[\w.+-]*[\w+-])?@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
     r"|(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d))"
-    r"|(?P<card>(?<![\d])\d(?:[ -]?\d){12,18}(?![\d]))"
+    r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}(?P<space>[ -])\d{6}(?P=space)\d{5})(?!\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w))", re.ASCII)
+KINDS = ("email", "ip", "card", "ssn", "phone")
 EMAIL = re.compile(r"[\w+](?:[\w.+-]*[\w+-])?@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 NAME = re.compile(rf"(?:\b({'|'.join(TITLES)})\.? )?\b([{_UPPER}][^\W\d_]+)(?: ([{_UPPER}][^\W\d_]+(?:-[{_UPPER}][^\W\d_]+)?))?")
 MAYBE_NAME = re.compile(rf"\b(?:{'|'.join(TITLES)})\b|\b[{_UPPER}][^\W\d_]+ [{_UPPER}]")
@@ -217,7 +218,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     """Spans of personal data in order, without overlap: start, end, kind, text."""
     found = []
     for m in PATTERN.finditer(text):
-        kind, value = m.lastgroup, m[0]
+        kind, value = next(k for k in KINDS if m[k]), m[0]
         digits = _digits(value) if kind in ("card", "phone") else ""
         if kind == "card" and luhn_digit(digits[:-1]) != digits[-1] or kind == "phone" and not 9 <= len(digits) <= 15:
             continue
