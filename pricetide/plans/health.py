@@ -176,3 +176,18 @@ def category_queue(cat: Catalog, *, high: float = P.HIGH_CONFIDENCE, medium: flo
     products = S.active_products_by_category(cat.products)
     columns = ["pending_review_count", "high_confidence_review_count", "active_offer_count", "product_count"]
     return _queue(cat.categories, [pending.drop("low_confidence_review_count"), live, products], "category_id", columns)
+
+
+def catalog_ready(cat: Catalog) -> DataFrame:
+    """One row: whether the catalog holds products and whether it holds offers, read from one row of each."""
+    has = lambda df: df.select(F.lit(1)).limit(1).agg((F.count("*") > 0).alias("has"))
+    products, offers = has(cat.products), has(cat.offers)
+    return products.select(
+        F.col("has").alias("has_products"), offers.scalar().alias("has_offers"),
+        F.when(F.col("has"), F.lit("ready")).otherwise("empty_catalog").alias("state"),
+    )
+
+
+def missing_entities(ids: DataFrame, table: DataFrame) -> DataFrame:
+    """The asked ``id`` values that the table lacks."""
+    return ids.select("id").distinct().join(table.select("id"), "id", "left_anti")

@@ -228,7 +228,8 @@ def bulk_outcomes(cat: Catalog, decision_ids: DataFrame, *, min_score: float = V
 def bulk_apply(
     cat: Catalog, decision_ids: DataFrame, *, min_score: float = V.BULK_MIN_SCORE
 ) -> tuple[Catalog, DataFrame]:
-    """Accept top candidates in bulk. One unknown id means nothing is applied."""
+    """Accept top candidates in bulk. One unknown id means nothing is applied; a refused resolution is reported as skipped,
+    with the reason. Of two decisions on one listing the later one in the catalog holds."""
     outcomes = bulk_outcomes(cat, decision_ids, min_score=min_score)
     unknown = outcomes.filter(F.col("outcome") == "decision_not_found").limit(1).select(F.lit(1).alias("_one"))
     accepted = (
@@ -239,5 +240,7 @@ def bulk_apply(
             F.concat(F.lit(V.RATIONALE_BULK), "canonical_name").alias("rationale"), F.col("decision_id").alias("seq"),
         )
     )
-    updated, _ = resolve(cat, accepted)
-    return updated, outcomes
+    order = cat.decisions.select(F.col("id").alias("decision_id"), F.struct("created_at", "id").alias("seq"))
+    updated, refused = resolve(cat, accepted.drop("seq").join(order, "decision_id"))
+    skipped = refused.select("decision_id", F.col("problem").alias("_problem"))
+    return updated, outcomes.join(skipped, "decision_id", "left").withColumn("outcome", F.coalesce("_problem", "outcome")).drop("_problem")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from pricetide.functions import text as X
-from pricetide.operators import changes, extract, ingest
+from pricetide.operators import changes, extract, ingest, runs
 from pricetide.plans import client, review
 from pricetide.schemas import empty_catalog
 from pricetide.sources import catalog_store
@@ -135,8 +135,9 @@ SELECT offer_id, product_id FROM printed JOIN (
   SELECT category_id, fingerprint, min(offer_id) AS product_id FROM printed GROUP BY 1, 2) USING (category_id, fingerprint)""", **IDENTITY_CTES))
 def _(spark, d):
     rows = cut(printed(spark, d).select("offer_id", "category_id", "fingerprint"))
-    owner = rows.groupBy("category_id", "fingerprint").agg(F.min("offer_id").alias("product_id"))
-    return rows.join(owner, ["category_id", "fingerprint"]).select("offer_id", "product_id")
+    products = rows.select(F.col("offer_id").alias("id"), "category_id", "fingerprint")
+    return ingest.exact_matches(rows, products).select("offer_id", F.col("exact_id").alias("product_id"))
+
 
 
 # Matching over hardware titles.
@@ -239,6 +240,86 @@ def _(spark, d):
     return _merged(spark, d).catalog.products.select("id", "canonical_name", "category_id", "brand", "model_key", "fingerprint", "match_bucket")
 
 
+SNAPS = """SELECT *, lag(price) OVER w AS before_price, row_number() OVER w AS n, row_number() OVER (w2) AS rn,
+    last_value(price IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_price, lag(status) OVER w AS before_status
+  FROM (SELECT *, 'https://r' || l_suppkey || '.example/p/' || l_partkey AS url,
+          CASE WHEN l_tax <> 0 THEN l_extendedprice END AS price,
+          CASE WHEN l_linestatus = 'O' THEN 'available' ELSE 'unavailable' END AS status FROM li)
+  WHERE price IS NULL OR (price > 0 AND price <= 50000)
+  WINDOW w AS (PARTITION BY url ORDER BY l_shipdate, l_orderkey, l_linenumber), w2 AS (PARTITION BY url ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC)"""
+
+
+@query("ingest_listings", with_ctes(f"""
+SELECT url AS source_url, name AS title, status, retailer_id FROM (
+  SELECT *, {listing_title('l_partkey', 'l_suppkey')} AS name, l_suppkey AS retailer_id FROM ({SNAPS})) WHERE rn = 1"""))
+def _(spark, d):
+    return _merged(spark, d).catalog.listings.select("source_url", "title", "status", "retailer_id")
+
+
+@query("ingest_results", with_ctes(f"""
+SELECT url, retailer_id, n = 1 AS listing_created, n = 1 AS offer_created,
+  price IS NOT NULL AND (last_price IS NULL OR last_price <> price OR n = 1 OR before_status <> status) AS observation_created
+FROM (SELECT *, l_suppkey AS retailer_id FROM ({SNAPS})) WHERE l_shipdate >= TIMESTAMP '1998-07-01'"""))
+def _(spark, d):
+    return _merged(spark, d).results.select("url", "retailer_id", "listing_created", "offer_created", "observation_created")
+
+
+# Run log over the driver tables: results and refusals from line items, page outcomes from orders, gates from events.
+
+GATE_KINDS = {"click": "waits", "view": "clears", "purchase": "failures"}
+RUN_PARTS = {
+    "run_results": "SELECT CAST(l_suppkey AS VARCHAR) AS run_id, l_linenumber = 1 AS listing_created FROM li WHERE l_extendedprice <= 50000",
+    "run_refused": "SELECT CAST(l_suppkey AS VARCHAR) AS run_id, count(*) AS item_errors FROM li WHERE l_extendedprice > 50000 GROUP BY 1",
+    "run_pages": "SELECT CAST(o_custkey % 150 AS VARCHAR) AS run_id, count(*) FILTER (WHERE o_orderstatus = 'P') AS category_errors FROM orders GROUP BY 1",
+    "run_merged": "SELECT run_id, count(*) AS merged, count(*) FILTER (WHERE listing_created) AS listings_created FROM run_results GROUP BY 1",
+    "run_gates": "SELECT CAST(user_id % 150 AS VARCHAR) AS run_id, CASE event_type " + " ".join(
+        f"WHEN '{e}' THEN '{k}'" for e, k in GATE_KINDS.items()) + " END AS kind, 'g' || CAST(event_id % 3 AS VARCHAR) AS gate FROM events",
+    "run_gate_text": "SELECT run_id, kind, sum(n) AS total, string_agg(gate || ':' || n, ', ' ORDER BY gate) AS listed FROM ("
+                     "SELECT run_id, kind, gate, count(*) AS n FROM run_gates WHERE kind IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2",
+    "run_ids": "SELECT run_id FROM run_merged UNION SELECT run_id FROM run_refused UNION SELECT run_id FROM run_pages UNION SELECT run_id FROM run_gate_text",
+    "run_text": """SELECT run_id, max(CASE WHEN kind = 'waits' THEN total || ' gate waits (' || listed || ')' END) AS waits,
+      max(CASE WHEN kind = 'clears' THEN total || ' gates auto-cleared (' || listed || ')' END) AS clears,
+      max(CASE WHEN kind = 'failures' THEN total || ' gates failed to clear (' || listed || ')' END) AS failures FROM run_gate_text GROUP BY 1""",
+    "summarized": """SELECT run_id, coalesce(merged, 0) + coalesce(item_errors, 0) AS listings_seen, coalesce(listings_created, 0) AS listings_created,
+      coalesce(merged - listings_created, 0) AS listings_updated,
+      CASE WHEN coalesce(item_errors, 0) + coalesce(category_errors, 0) > 0 THEN 'partial' ELSE 'succeeded' END AS status,
+      nullif(concat_ws('; ', CASE WHEN category_errors > 0 THEN category_errors || ' category/page failures' END,
+        CASE WHEN item_errors > 0 THEN item_errors || ' item failures' END, waits, clears, failures), '') AS error_summary
+    FROM run_ids LEFT JOIN run_merged USING (run_id) LEFT JOIN run_refused USING (run_id) LEFT JOIN run_pages USING (run_id) LEFT JOIN run_text USING (run_id)""",
+}
+
+
+def _run_summary(spark, d):
+    rows = lines(spark, d).select(F.col("l_suppkey").cast("string").alias("run_id"), "l_linenumber", "l_extendedprice")
+    fine = F.col("l_extendedprice") <= 50000
+    pages = read(spark, d, "orders").select((F.col("o_custkey") % 150).cast("string").alias("run_id"), (F.col("o_orderstatus") == "P").alias("failed"))
+    kind = F.coalesce(*[F.when(F.col("event_type") == e, F.lit(k)) for e, k in GATE_KINDS.items()])
+    gates = read(spark, d, "events").select((F.col("user_id") % 150).cast("string").alias("run_id"), kind.alias("kind"),
+                                            F.concat(F.lit("g"), (F.col("event_id") % 3).cast("string")).alias("gate"))
+    return runs.run_summary(rows.filter(fine).select("run_id", (F.col("l_linenumber") == 1).alias("listing_created")),
+                            rows.filter(~fine).select("run_id"), pages, gates.filter("kind is not null"))
+
+
+@query("run_summary", with_ctes("SELECT * FROM summarized", **RUN_PARTS))
+def _(spark, d):
+    return _run_summary(spark, d)
+
+
+@query("closed_runs", with_ctes(f"""
+SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_acctbal < 0 THEN 'failed' WHEN run_id IS NULL THEN 'started' ELSE r.status END AS status,
+  CASE WHEN s_acctbal < 0 OR run_id IS NOT NULL THEN TIMESTAMP '{LINE_AS_OF}' END AS finished_at, coalesce(listings_seen, 0) AS listings_seen,
+  coalesce(listings_updated, 0) + CASE WHEN s_acctbal < 0 OR run_id IS NOT NULL THEN s_nationkey ELSE 0 END AS listings_updated,
+  nullif(concat_ws('; ', CASE WHEN s_acctbal < 0 THEN 'stopped by ' || s_name END, error_summary), '') AS error_summary
+FROM supplier LEFT JOIN summarized r ON r.run_id = CAST(s_suppkey AS VARCHAR)""", **RUN_PARTS))
+def _(spark, d):
+    suppliers = read(spark, d, "supplier").withColumn("run_id", F.col("s_suppkey").cast("string"))
+    opened = runs.open_runs(suppliers.select(F.col("run_id").alias("id"), F.col("s_suppkey").alias("retailer_id"), F.col("s_name").alias("scraper_name")), as_of=datetime(1998, 7, 1))
+    marked = suppliers.select("run_id", F.col("s_nationkey").cast("long").alias("n"))
+    failed = suppliers.filter("s_acctbal < 0").select("run_id", F.concat(F.lit("stopped by "), "s_name").alias("detail"))
+    return runs.close_runs(opened, _run_summary(spark, d), as_of=LINE_AS_OF, marked=marked, failed=failed).select(
+        "id", "status", "finished_at", "listings_seen", "listings_updated", "error_summary")
+
+
 # Page jobs.
 
 
@@ -324,17 +405,21 @@ def _card_pages(spark, d):
             parts.append(F.col({"T": "shown", "P": "price_text", "H": "href"}[piece]) if piece in ("T", "P", "H") else F.lit(piece))
         return F.concat(*parts)
 
-    goods = '<ul id="goods_sty"><li class="goods_info"><div class="goods_img"><img content="https://i/x.jpg"></div><div class="goods_name"><a href="@H@" title="@T@"></a></div><div class="goods-price">@P@</div></li></ul>'
+    shelf = lambda row: f'<ul id="goods_sty"><li class="ad">ad</li>{row}</ul>'
     markup = [
-        '<div class="product"><a data-pjax href="@H@"><div class="img-container"><img src="/i.jpg"></div><h2 class="equalize">@T@</h2><div class="price">@P@</div></a></div>',
-        '<div class="product-grid"><div class="prbox_box" style="background-image:url(&quot;/i.jpg&quot;);"><a class="prbox_link" href="@H@"></a><div class="prbox_name">@T@</div><div class="saleprice">@P@</div></div></div>',
-        '<div class="ais-InfiniteHits-item"><a class="result" href="@H@"><div class="result-thumbnail"><img src="/i.jpg"></div><div class="result-title">@T@</div></a><div class="after_special">@P@</div></div>',
-        goods, goods,
-        '<div data-product-card-container><div data-product-card-title><a href="@H@">@T@</a></div><div data-product-price-current>@P@</div></div>',
-        '<div class="product-list-detail"><div class="detail-product-title"><a href="@H@">@T@</a></div><div class="detail-product-price">@P@</div></div>',
-        '<div class="wrapper-thumbnail"><div class="caption"><a href="@H@" title="@T@">x</a></div><p class="price"><span>@P@</span></p></div>',
+        '<article class="item product"><a class="go" data-pjax="1" href="@H@"><i></i><div><h2 class="t equalize">@T@</h2></div><div class="from price">@P@</div></a></article>',
+        '<div class="wide product-grid"><hr><div class="prbox_box sale"><div class="saleprice">@P@</div><a class="big prbox_link" href="@H@">see</a><div class="prbox_name">@T@</div></div></div>',
+        '<div class="ais-InfiniteHits-item"><div class="row"><a class="result" href="@H@"><div><div class="result-title">@T@</div></div></a></div><div class="after_special">@P@</div></div>',
+        shelf('<li class="goods_info new"><div class="goods_name"><em>hot</em><a title="@T@" href="@H@">short</a></div><div class="goods-price">@P@</div></li>'),
+        shelf('<li class="goods_info"><div class="goods-price">@P@</div><div class="goods_name"><a title="" href="@H@">@T@</a></div></li>'),
+        '<div data-product-card-container="9"><div data-product-price-current="">@P@</div><div data-product-card-title=""><a href="@H@">@T@</a></div></div>'
+        '<section class="tall product-container list-view"><a class="product-title" href="/other">not this layout</a><b class="price">$1</b></section>',
+        '<div class="product-list-detail odd"><div class="detail-product-price">@P@</div><div class="detail-product-title"><a href="@H@">@T@</a></div></div>',
+        '<div class="wrapper-thumbnail"><div class="caption"><p>deal</p><a title="@T@" href="@H@">more</a></div><p class="price"><span>@P@</span></p></div>',
     ]
-    html = F.coalesce(*[F.when(site_no == i, fill(m)) for i, m in enumerate(markup)])
+    # one site shows two layouts: the first is missing on every other page
+    second = '<section class="tall product-container list-view"><b class="price">@P@</b><div><a class="product-title" href="@H@">@T@</a></div></section>'
+    html = F.coalesce(F.when((site_no == 5) & (F.col("l_quantity") % 2 == 0), fill(second)), *[F.when(site_no == i, fill(m)) for i, m in enumerate(markup)])
     site = F.element_at(F.array(*[F.lit(s) for s in SITES]), site_no + 1)
     page = F.concat_ws("-", F.lit("page"), "l_orderkey", "l_linenumber", "offer_id", F.col("l_extendedprice").cast("string"))
     return rows.select(page.alias("url"), site.alias("site"), F.concat(F.lit("<html><body>"), html, F.lit("</body></html>")).alias("html"))

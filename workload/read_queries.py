@@ -633,3 +633,17 @@ SELECT count(*) FILTER (WHERE status = 'ok') AS healthy_count,
   count(*) FILTER (WHERE status = 'never_run') AS never_run_count FROM ({HEALTH})"""))
 def _(spark, d):
     return client.health_classes(health.retailer_health(catalog(spark, d), as_of=RUN_AS_OF))
+
+
+@query("catalog_ready", with_ctes("""
+SELECT (SELECT count(*) > 0 FROM products) AS has_products, (SELECT count(*) > 0 FROM offers) AS has_offers,
+  CASE WHEN (SELECT count(*) > 0 FROM products) THEN 'ready' ELSE 'empty_catalog' END AS state"""))
+def _(spark, d):
+    return health.catalog_ready(catalog(spark, d))
+
+
+@query("missing_products", with_ctes("""
+SELECT DISTINCT o_custkey * 7 AS id FROM orders WHERE o_custkey * 7 NOT IN (SELECT id FROM products)"""))
+def _(spark, d):
+    asked = read(spark, d, "orders").select((F.col("o_custkey") * 7).alias("id"))
+    return health.missing_entities(asked, catalog(spark, d).products)
