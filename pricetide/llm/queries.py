@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.llm import decontaminate, language, licenses, minhash, packing, pii, quality, secrets, substrings, toxicity
+from pricetide.llm.twins import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -71,4 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_substrings": op10_substrings,
 }
-ORACLES: dict[str, str] = {}
