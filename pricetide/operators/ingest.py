@@ -141,10 +141,12 @@ def plan_matches(cat: Catalog, latest: DataFrame) -> DataFrame:
     exact = _plan("auto_matched", 1.0, "fingerprint", V.RATIONALE_EXACT, c("exact_id"))
     settled = known.withColumn("plan", F.coalesce(kept, F.when(c("exact_id").isNotNull(), exact)))
     open_rows = settled.filter(c("plan").isNull())
+    # Only products of categories that have open rows can be candidates; the rest of the catalog is left alone.
+    near = cat.products.join(open_rows.select("category_id").distinct(), "category_id", "left_semi")
     ranked = M.rank(
         open_rows.select("listing_id", F.col("name").alias("title"), "brand", "model", "normalized_model",
                          "loose_normalized_model", "category_id", "category_name"),
-        cat.products, cat.offers, k=1, min_score=V.REVIEW_SCORE,
+        near, cat.offers, k=1, min_score=V.REVIEW_SCORE,
     ).select("listing_id", F.col("product_id").alias("best_id"), "score")
     score_text = c("score").cast("string")
     confidence = F.round(c("score") / 100.0, 3)

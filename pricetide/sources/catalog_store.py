@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,8 +99,12 @@ def current_version(spark: SparkSession, base: str) -> int | None:
     return spark.read.schema(VERSIONS).parquet(f"{base}/versions").agg(F.max("version")).first()[0]
 
 
-def load(spark: SparkSession, base: str, version: int | None = None) -> K.Catalog:
-    """The catalog as of a version, by default the last committed one."""
+def load(spark: SparkSession, base: str, version: int | None = None, *, observed_from: date | None = None) -> K.Catalog:
+    """The catalog as of a version, by default the last committed one.
+
+    ``observed_from`` leaves out observations of earlier days; their folders are not opened. Trends over a lookback window
+    need no more than its days.
+    """
     at = current_version(spark, base) if version is None else version
     tables = {
         name: read_table(spark, name, f"{base}/{name}/version={at}")
@@ -110,6 +116,8 @@ def load(spark: SparkSession, base: str, version: int | None = None) -> K.Catalo
     starts = log.agg(F.max("history_from")).first()[0] or 0
     committed = observations.filter(F.col("version").between(starts, at) & F.col("version").isin(
         [r["version"] for r in log.filter(F.col("version") >= starts).select("version").distinct().collect()]))
+    if observed_from is not None:
+        committed = committed.filter(F.col("day") >= F.lit(observed_from))
     tables["observations"] = committed.select(*K.OBSERVATIONS.names)
     return K.Catalog(**tables)
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from pricetide.functions import text as X
-from pricetide.operators import changes, extract, ingest, runs
+from pricetide.operators import changes, crawl, extract, ingest, runs
 from pricetide.plans import client, review
 from pricetide.schemas import empty_catalog
 from pricetide.sources import catalog_store
@@ -390,7 +390,7 @@ SITES = ["computeralliance", "centrecom", "jw", "msy", "umart", "pccg", "scorpte
 BASES = {s.site: s.base_url for s in CARD_SPECS}
 
 
-def _card_pages(spark, d):
+def _card_pages(spark, d, page=None, more=()):
     """One captured page per lineitem row, in the markup of one of the eight sites."""
     k, site_no = F.col("l_partkey"), (F.col("l_suppkey") % 8).cast("int")
     shown = F.replace(F.replace(F.col("title"), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
@@ -421,8 +421,49 @@ def _card_pages(spark, d):
     second = '<section class="tall product-container list-view"><b class="price">@P@</b><div><a class="product-title" href="@H@">@T@</a></div></section>'
     html = F.coalesce(F.when((site_no == 5) & (F.col("l_quantity") % 2 == 0), fill(second)), *[F.when(site_no == i, fill(m)) for i, m in enumerate(markup)])
     site = F.element_at(F.array(*[F.lit(s) for s in SITES]), site_no + 1)
-    page = F.concat_ws("-", F.lit("page"), "l_orderkey", "l_linenumber", "offer_id", F.col("l_extendedprice").cast("string"))
-    return rows.select(page.alias("url"), site.alias("site"), F.concat(F.lit("<html><body>"), html, F.lit("</body></html>")).alias("html"))
+    if page is None:
+        page = F.concat_ws("-", F.lit("page"), "l_orderkey", "l_linenumber", "offer_id", F.col("l_extendedprice").cast("string"))
+    return rows.select(page.alias("url"), site.alias("site"), F.concat(F.lit("<html><body>"), html, F.lit("</body></html>")).alias("html"), *more)
+
+
+def _crawl_pages(spark, d):
+    """The card pages as one crawl: listing pages per category, in the order of the line items."""
+    k = F.col("l_partkey")
+    base = F.element_at(F.array(*[F.lit(BASES[s]) for s in SITES]), (F.col("l_suppkey") % 8).cast("int") + 1)
+    number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    address = F.concat(base, F.lit("/list/"), adapter.title_category_id(k).cast("string"), F.lit("?n="), F.concat_ws("-", number, "offer_id", F.col("l_extendedprice").cast("string")))
+    pages = _card_pages(spark, d, page=address, more=[number.cast("long").alias("page_seq")])
+    return pages.withColumn("run_id", F.concat(F.lit("run-"), "site"))
+
+
+CRAWL = f"""SELECT *, row_number() OVER (PARTITION BY url, fine ORDER BY page_seq DESC) AS rn FROM (SELECT *, coalesce(price > 0 AND price <= 50000, true) AS fine FROM (
+  SELECT list_extract({SITES!r}, CAST(l_suppkey % 8 AS INTEGER) + 1) AS site, CAST(l_suppkey % 8 AS INTEGER) + 1 AS retailer_id,
+    list_extract({[BASES[s] for s in SITES]!r}, CAST(l_suppkey % 8 AS INTEGER) + 1) || '/p/' || l_partkey || '?s=' || l_suppkey AS url,
+    CASE WHEN l_tax <> 0 THEN floor(u) END AS price, l_orderkey * 10 + l_linenumber AS page_seq FROM li))"""
+
+
+def _crawled(spark, d):
+    empty = empty_catalog(spark).with_tables(categories=adapter.title_categories(spark, d).select("id", "name"))
+    sites = spark.createDataFrame(list(zip(SITES, range(1, 9))), "site string, retailer_id long")
+    tasks = empty.categories.select(F.explode(F.array(*[F.lit(BASES[s]) for s in SITES])).alias("base"), "id", "name").select(
+        F.concat("base", F.lit("/list/"), F.col("id").cast("string")).alias("task_url"), F.col("name").alias("category"))
+    return crawl.crawl_batch(empty, _crawl_pages(spark, d), sites, tasks, completed=sites.select("retailer_id"), run_id="crawl", as_of=LINE_AS_OF)
+
+
+@query("crawl_offers", with_ctes(f"""
+SELECT url AS listing_url, retailer_id, price AS current_price, CASE WHEN price IS NULL THEN 'unavailable' ELSE 'available' END AS status
+FROM ({CRAWL}) WHERE rn = 1 AND fine"""))
+def _(spark, d):
+    return _crawled(spark, d).catalog.offers.select("listing_url", "retailer_id", "current_price", "status")
+
+
+@query("crawl_runs", with_ctes(f"""
+SELECT 'run-' || site AS id, CASE WHEN bool_and(fine) THEN 'succeeded' ELSE 'partial' END AS status, count(*) AS listings_seen,
+  count(DISTINCT url) FILTER (WHERE fine) AS listings_created, count(*) FILTER (WHERE fine) - count(DISTINCT url) FILTER (WHERE fine) AS listings_updated,
+  nullif(concat_ws('; ', CASE WHEN NOT bool_and(fine) THEN count(*) FILTER (WHERE NOT fine) || ' item failures' END), '') AS error_summary
+FROM ({CRAWL}) GROUP BY site"""))
+def _(spark, d):
+    return _crawled(spark, d).catalog.runs.select("id", "status", "listings_seen", "listings_created", "listings_updated", "error_summary")
 
 
 @query("listing_cards", with_ctes(f"""
