@@ -2,8 +2,9 @@
 
 1. Each text becomes its set of distinct 5-word shingles. Texts with equal sets form one class, whose least document stands
    for it; only these are compared.
-2. A class has ``BANDS * ROWS`` MinHash values. Each band of values is a bucket key. The same values, folded into a parity
-   bitmap, are its odd sketch: the population count of two sketches' XOR estimates how many values differ.
+2. A class has ``BANDS * ROWS`` MinHash values. Each band of values is a bucket key. Besides, its shingles are dealt to
+   ``BINS`` bins; the least of each bin is one more MinHash sample, and these are folded into a parity bitmap, the odd
+   sketch. The population count of two sketches' XOR estimates how many samples differ, precisely for similar sets.
 3. Within a bucket every member meets two pivots, the least and the greatest, and pairs whose sketches agree well enough are checked on their full
    sets. The links found give groups.
 4. Members of one bucket that are still in different groups then meet each other, in blocks, with the same sketch test and
@@ -29,21 +30,22 @@ from pyspark.sql import functions as F
 
 from pricetide.llm import arrays
 from pricetide.llm.components import components
+from pricetide.llm.texts import packed, unpacked
 from pricetide.sources.lineage import cut
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
-SKETCH_BITS = 512
-#: least estimated similarity of a pair that is checked
-FLOOR = 0.60
+BINS = 1024
+SKETCH_BITS = 1024
+DEVIATIONS = 5
 LEAST = 85
 BLOCK = 512
+TASK_PARTNERS = 256
 
 _rng = np.random.Generator(np.random.PCG64(20240517))
 SALTS = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
 FACTORS = (_rng.integers(0, 1 << 32, BANDS * ROWS, np.uint64) | np.uint64(1)).astype(np.uint32)
 BAND_SALTS = _rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) | np.uint64(1)
-PLACE_SALTS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -73,17 +75,14 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return arrays.mix((arrays.mix(rows + BAND_SALTS) * BAND_SALTS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    places = arrays.mix(least.astype(np.uint64) ^ PLACE_SALTS) % np.uint64(SKETCH_BITS)
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap of the least shingle of each bin. Bins are the high bits of sorted hashes, so a bin's least is its first."""
+    bins = shingles >> np.uint64(64 - BINS.bit_length() + 1)
+    firsts = shingles[np.r_[True, bins[1:] != bins[:-1]]]
+    places = arrays.mix(firsts) % np.uint64(SKETCH_BITS)
     return np.packbits((np.bincount(places.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def most_differing_bits(floor: float = FLOOR) -> int:
-    """Sketch distance expected at similarity ``floor``: estimates below it have more differing bits."""
-    values = BANDS * ROWS
-    return int(SKETCH_BITS * (1 - np.exp(-4 * values * (1 - floor) / SKETCH_BITS)) / 2)
-
-
 SIGNATURE = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>"
 SET = ["n_shingles", "set_a", "set_b"]
 
@@ -102,38 +101,63 @@ def signatures(docs: DataFrame) -> DataFrame:
                     batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64()),
                     pa.array([[] if x is None else band_keys(x).view(np.int64) for x in least], longs),
-                    pa.array([[] if x is None else odd_sketch(x) for x in least], longs),
+                    pa.array([odd_sketch(x) if len(x) else [] for x in sets], longs),
                 ], ["doc_id", *SET, "bands", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURE)
 
 
-def close(a: str, b: str) -> Column:
-    """Whether the XOR of two sketches has few enough bits."""
+def most_bits(n: Column, m: Column, least: int = LEAST) -> Column:
+    """Differing sketch bits that two sets of ``n`` and ``m`` shingles and similarity ``least`` stay under, but for rare chance.
+
+    Sets that similar have ``(n + m) / (1 + j)`` shingles between them. From the bins that so many shingles, ``n`` and ``m``
+    fill follows how many samples differ on average; the spread grows from that of a nearly complete sample, when bins are
+    many, to that of independent draws. ``DEVIATIONS`` of it are allowed.
+    """
+    j = least / 100
+    filled = lambda x: BINS * (1 - F.exp(-x / BINS))
+    union = (n + m) / (1 + j)
+    mean = filled(n) + filled(m) - 2 * j * filled(union)
+    differing = mean + DEVIATIONS * F.sqrt(mean * F.least(F.lit(1.7), 0.25 + 0.3 * union / BINS)) + 2
+    folded = SKETCH_BITS / 2 * (1 - F.exp(-2 * differing / SKETCH_BITS)) + 3 * F.sqrt(SKETCH_BITS / 4 * (1 - F.exp(-4 * differing / SKETCH_BITS)))
+    return F.least(differing, folded)
+
+
+def close(a: str, b: str, n: str, m: str, least: int) -> Column:
+    """Whether two sets are near enough in size, and the XOR of their sketches has few enough bits."""
     total = F.lit(0)
     for i in range(1, SKETCH_BITS // 64 + 1):
         total = total + F.bit_count(F.element_at(a, i).bitwiseXOR(F.element_at(b, i)))
-    return total <= most_differing_bits()
+    return (100 * F.least(n, m) >= least * F.greatest(n, m)) & (total <= most_bits(F.col(n), F.col(m), least))
 
 
-def linked(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. A text goes to the rows of its pairs; Spark may split a pivot's."""
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def linked(pairs: DataFrame, blobs: DataFrame, least: int) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches, "text_a"):
-            for part in arrays.slices(iter([batch]), "text_b"):
-                keep = []
-                pivots: dict[int, np.ndarray] = {}
-                for i, (x, y) in enumerate(zip(part.column("a").to_pylist(), shingle_sets(part.column("text_b")))):
-                    if x not in pivots:
-                        pivots = {x: shingle_sets(part.column("text_a").slice(i, 1))[0]}
-                    common = len(np.intersect1d(pivots[x], y, assume_unique=True))
-                    keep.append(100 * common >= least * (len(pivots[x]) + len(y) - common))
-                yield part.select(["a", "b"]).filter(pa.array(keep))
+    The text of ``a`` is sent once to a task, before those of its partners; one with many partners is sent to several tasks.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / TASK_PARTNERS).cast("int").alias("spread"))
+    salt = F.pmod(F.xxhash64("b"), F.col("spread")).cast("int").alias("salt")
+    partners = pairs.join(sizes, "a").select("a", salt, "b").join(blobs.toDF("b", "blob"), "b").select("a", "salt", "b", "blob")
+    pivots = sizes.join(blobs.toDF("a", "blob"), "a").select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "blob")
+    dealt = pivots.union(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, own = None, []
+        for batch, raw in unpacked(batches):
+            keep = []
+            sets = shingle_sets(pa.array(raw, pa.large_binary()))
+            for a, part, b, s in zip(*[batch.column(c).to_pylist() for c in ("a", "salt", "b")], sets):
+                if current != (a, part):
+                    current, own = (a, part), []
+                if b is None:
+                    own.append(s)
+                common = [len(np.intersect1d(s, x, assume_unique=True)) for x in own] if b is not None else []
+                keep.append(any(100 * c >= least * (len(s) + len(x) - c) for c, x in zip(common, own)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def ordered(x: str, y: str) -> list[Column]:
@@ -145,22 +169,24 @@ def links(docs: DataFrame, classes: DataFrame, least: int = LEAST) -> DataFrame:
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("p0"), F.max("rep").alias("p1"), F.count("*").alias("n")).filter("n > 1")
     members = cut(buckets.join(shared, "bucket"))
-    sketches = classes.select("rep", "sketch")
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    sketches = classes.select("rep", "sketch", "n_shingles")
+    texts = cut(packed(docs).join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     star = members.select("rep", F.explode(F.array("p0", "p1")).alias("pivot")).filter("rep != pivot").select(*ordered("rep", "pivot")).distinct()
-    near = star.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b").filter(close("sketch_a", "sketch_b"))
+    near = star.join(sketches.toDF("a", "sketch_a", "n_a"), "a").join(sketches.toDF("b", "sketch_b", "n_b"), "b").filter(
+        close("sketch_a", "sketch_b", "n_a", "n_b", least))
     first = cut(linked(near.select("a", "b"), texts, least))
     grouped = members.join(components(first, "a", "b"), F.col("rep") == F.col("node"), "left").select(
         "bucket", "rep", "n", F.coalesce("component", "rep").alias("group"))
     apart = grouped.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("bucket")
-    rest = cut(grouped.join(apart, "bucket").join(sketches, "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rest = cut(grouped.join(apart, "bucket").join(classes.select("rep", "sketch", "n_shingles", "bands"), "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
                .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    side = lambda p: rest.select("bucket", *[F.col(c).alias(p + c) for c in ("rep", "group", "sketch", "block")], "blocks")
+    side = lambda p: rest.select("bucket", *[F.col(c).alias(p + c) for c in ("rep", "group", "sketch", "n_shingles", "bands", "block")], "blocks")
     left = side("l_").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = side("r_").withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a pair counts in the least of its buckets only
+    once = F.array_min(F.array_intersect("l_bands", "r_bands")) == left["bucket"]
     across = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("other") == F.col("r_block")) & (F.col("mine") == F.col("l_block"))
-                       & (F.col("l_rep") < F.col("r_rep")) & (F.col("l_group") != F.col("r_group")) & close("l_sketch", "r_sketch"))
+                       & (F.col("l_rep") < F.col("r_rep")) & (F.col("l_group") != F.col("r_group")) & close("l_sketch", "r_sketch", "l_n_shingles", "r_n_shingles", least) & once)
     new = across.select(*ordered("l_rep", "r_rep")).distinct().join(star, ["a", "b"], "left_anti")
     return first.union(linked(new, texts, least))
 
