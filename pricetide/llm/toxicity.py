@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from pricetide.llm import arrays
 from pricetide.llm.labelled import held_out, sample
+from pricetide.sources.lineage import cut
 
 BUCKETS = 1 << 18
 PREFIX_BYTES = 5
@@ -69,8 +70,8 @@ def counterfactual(text: str | None) -> str | None:
     return None if parts == words else "".join(parts)
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, per_class: int) -> pa.Table:
-    """Features of the sampled documents and of their twins: a bounded table."""
+def labelled_features(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """Features of the sampled documents and of their twins."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
         ~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(sample(known, "toxic", per_class, "toxicity"))  # two times per_class rows of two numbers
@@ -86,33 +87,64 @@ def labelled_features(docs: DataFrame, labels: DataFrame, per_class: int) -> pa.
             ], ["doc_id", "toxic", "own", "twin"])
 
     joined = docs.join(chosen, "doc_id").select("doc_id", "text", "toxic")
-    return joined.mapInArrow(run, "doc_id bigint, toxic int, own array<int>, twin array<int>").toArrow().sort_by("doc_id")
+    return cut(joined.mapInArrow(run, "doc_id bigint, toxic int, own array<int>, twin array<int>"))
+
+
+def selected(rows: DataFrame) -> tuple[np.ndarray, pa.Table]:
+    """Features worth a weight, and the sampled rows with these features only.
+
+    A feature is kept if enough documents have it and its share differs between the labels beyond chance, or if it is what a
+    swap of identity terms changes. Features are counted in Spark, so the driver gets the kept ones and a few numbers a row.
+    """
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    pos, neg = n.get(1, 0), n.get(0, 0)
+    kept = np.empty(0, np.int64)
+    if pos and neg:
+        counts = rows.select("toxic", F.explode("own").alias("feature")).groupBy("feature").agg(
+            F.sum("toxic").alias("p"), F.count("*").alias("n"))
+        rate = F.col("n") / (pos + neg)
+        z = (F.col("p") / pos - (F.col("n") - F.col("p")) / neg) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / pos + 1 / neg))
+        swapped = rows.filter("twin is not null").select(
+            F.explode(F.concat(F.array_except("own", "twin"), F.array_except("twin", "own"))).alias("feature"))
+        told = counts.filter((F.col("n") >= LEAST_DOCUMENTS) & (F.abs(z) >= LEAST_Z)).select("feature")
+        kept = np.sort(told.union(swapped).distinct().toArrow().column("feature").to_numpy().astype(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            few = [pa.array([None if not x.is_valid else np.intersect1d(x.values.to_numpy(), kept).astype(np.int32) for x in batch.column(c)],
+                            pa.list_(pa.int32())) for c in ("own", "twin")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *few], batch.schema.names)
+
+    return kept, rows.mapInArrow(run, rows.schema).toArrow().sort_by("doc_id")
 
 
-def fit(table: pa.Table) -> tuple[np.ndarray, np.ndarray, float]:
-    """Kept features, their weights and the bias."""
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All features of a list column, and how many each row has; no copy is made of them."""
+    listed = column.combine_chunks()
+    offsets = listed.offsets.to_numpy()
+    return listed.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def fit(kept: np.ndarray, table: pa.Table) -> tuple[np.ndarray, float]:
+    """Weights of the kept features, and the bias."""
     y = np.array(table.column("toxic").to_pylist(), np.float64)
-    own = [np.array(r.values) for r in table.column("own")]
-    twins = [(i, np.array(r.values)) for i, r in enumerate(table.column("twin")) if r.is_valid]
     pos, neg = y.sum(), len(y) - y.sum()
-    none = np.empty(0, np.int64)
     if not pos or not neg:
-        return none, np.empty(0), 0.0
-    counts = [np.bincount(np.concatenate([f for f, t in zip(own, y) if t == label] or [none]), minlength=BUCKETS) for label in (0, 1)]
-    rate = (counts[1] + counts[0]) / len(y)
-    z = (counts[1] / pos - counts[0] / neg) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / pos + 1 / neg))
-    group = np.unique(np.concatenate([none, *[np.setxor1d(own[i], t) for i, t in twins]])).astype(np.int64)
-    kept = np.union1d(np.flatnonzero((counts[0] + counts[1] >= LEAST_DOCUMENTS) & (np.abs(z) >= LEAST_Z)), group)
-    place = np.full(BUCKETS, -1)
+        return np.empty(0), 0.0
+    own, sizes = _flat(table.column("own"))
+    of_twin = np.flatnonzero(np.array(table.column("twin").is_valid()))
+    twin, twin_sizes = _flat(table.column("twin").take(of_twin))
+    place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
 
-    def rows(features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        at = [p[p >= 0] for p in (place[f] for f in features)]
-        return np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate([*at, none])
+    def rows(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and kept feature of each entry that is kept."""
+        at = place[flat]
+        return np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[at >= 0], at[at >= 0]
 
-    r, c = rows(own)
-    tr, tc = rows([t for _, t in twins])
-    of_twin = np.array([i for i, _ in twins], np.int64)
+    r, c = rows(own, sizes)
+    tr, tc = rows(twin, twin_sizes)
+    twins = len(of_twin)
     w, b, size = np.zeros(len(kept)), np.log(pos / neg), np.zeros(len(kept) + 1)
     weight = np.where(y == 1, 0.5 / pos, 0.5 / neg)
     for _ in range(STEPS):
@@ -120,7 +152,7 @@ def fit(table: pa.Table) -> tuple[np.ndarray, np.ndarray, float]:
         error = (1 / (1 + np.exp(-score)) - y) * weight
         g = np.bincount(c, error[r], len(kept)) + L2 * w
         if twins:
-            gap = (score[of_twin] - b - np.bincount(tr, w[tc], len(twins))) * 2 * COUNTERFACTUAL / len(twins)
+            gap = (score[of_twin] - b - np.bincount(tr, w[tc], twins)) * 2 * COUNTERFACTUAL / twins
             whole = np.zeros(len(y))
             np.add.at(whole, of_twin, gap)
             g += np.bincount(c, whole[r], len(kept)) - np.bincount(tc, gap[tr], len(kept))
@@ -128,15 +160,19 @@ def fit(table: pa.Table) -> tuple[np.ndarray, np.ndarray, float]:
         size += step * step
         move = RATE * step / np.sqrt(size + 1e-12)
         w, b = w - move[:-1], b - move[-1]
-    return kept, w, float(b)
+    return w, float(b)
 
 
 def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """All columns of the documents, and ``__toxicity`` for each row."""
-    kept, w, b = fit(labelled_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, per_class))
-    table = np.zeros(BUCKETS, np.float32)
-    table[kept] = w
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # one number per bucket
+    rows = labelled_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, per_class)
+    kept, table = selected(rows)
+    w, b = fit(kept, table)
+    weights_of = np.zeros(BUCKETS, np.float32)
+    weights_of[kept[: len(w)]] = w
+    shared = docs.sparkSession.sparkContext.broadcast(weights_of)  # one number per bucket
+
+    learned = len(w) > 0
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -150,7 +186,7 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
                 doc = np.searchsorted(of, at // 2, "right") - 1
                 pairs = np.unique(doc * BUCKETS + every[at])
                 total = np.bincount(pairs // BUCKETS, weights[pairs % BUCKETS], len(of) - 1)
-                out.append(1 / (1 + np.exp(-(b + total))) if len(kept) else total)
+                out.append(1 / (1 + np.exp(-(b + total))) if learned else total)
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
 
     return docs.withColumn("__toxicity", score("text"))
