@@ -7,7 +7,6 @@ once, and is guarded by a plain substring test, which rejects most words without
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,11 +80,15 @@ def _without_words(low: Column, words: list[str]) -> Column:
     A word that does not occur costs a substring test and no regex. Deleting all words with one alternation
     would differ where a deletion joins text.
     """
+    listed = longest_first([w.lower() for w in words])
+    known = F.array(*map(F.lit, listed))
 
-    def delete(text: Column, word: str) -> Column:
-        return let(text, lambda t: F.when(t.contains(word), F.regexp_replace(t, _as_word(word, "U"), F.lit(""))).otherwise(t))
+    def delete(text: Column, word: Column) -> Column:
+        # one literal pattern per word, compiled once; the branch is only looked for when the word occurs
+        one_of = F.coalesce(*[F.when(word == w, F.regexp_replace(text, _as_word(w, "U"), F.lit(""))) for w in listed])
+        return F.when(text.contains(word), one_of).otherwise(text)
 
-    return reduce(delete, longest_first([w.lower() for w in words]), low)
+    return F.aggregate(known, low, delete)
 
 
 def normalize_strict(text: Column) -> Column:
