@@ -18,6 +18,10 @@ from pricetide.llm.queries import TOKENIZER, read
 from pricetide.sources.lineage import cut
 
 
+#: near copies share five-word shingles with similarity 0.8 or more; so many bands miss a pair of exactly 0.8 with a chance under 1e-6
+NEAR_LEAST, NEAR_BANDS = 80, 36
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents whose id is not among the rejected, columns as they were."""
     ids = rejected.select(F.col("doc_id").alias("__rejected")).distinct()
@@ -30,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, minhash.near_duplicates(docs).filter(~F.col("kept")))
+    return _without(docs, minhash.near_duplicates(docs, NEAR_LEAST, NEAR_BANDS).filter(~F.col("kept")))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 1. Each text becomes its set of distinct 5-word shingles. Texts with equal sets form one class, whose least document stands
    for it; only these are compared.
-2. A class has ``BANDS * ROWS`` MinHash values. Each band of values is a bucket key. Besides, its shingles are dealt to
+2. A class has ``bands * rows`` MinHash values. Each band of values is a bucket key. Besides, its shingles are dealt to
    ``BINS`` bins; the least of each bin is one more MinHash sample, and these are folded into a parity bitmap, the odd
    sketch. The population count of two sketches' XOR estimates how many samples differ, precisely for similar sets.
 3. Within a bucket every member meets two pivots, the least and the greatest, and pairs whose sketches agree well enough are checked on their full
@@ -11,8 +11,8 @@
    full check. So every pair in a bucket is either checked, ruled out by its sketch or already joined through links, and
    a bucket of many near copies costs about as many pairs as it has members.
 
-A pair of similarity 0.85 shares no bucket with a chance under 1e-6, and a pair that is similar enough fails the sketch
-test with a chance under 1e-9.
+A pair of similarity 0.85 shares no bucket of 24 bands with a chance under 1e-6, and a pair that is similar enough fails
+the sketch test with a chance under 1e-9. A lower ``least`` needs more bands for that: 36 of them at 0.80.
 
 Defined results: null or empty text, or text without words, has no shingles and stands alone; a text of fewer than five
 words is one shingle; equal rows repeat in the result; rows without id are returned as they are, in no group; equal ids
@@ -22,6 +22,7 @@ with different texts share their links; an empty table gives no rows; other colu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,14 @@ LEAST = 85
 BLOCK = 512
 TASK_PARTNERS = 256
 
-_rng = np.random.Generator(np.random.PCG64(20240517))
-SALTS = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
-FACTORS = (_rng.integers(0, 1 << 32, BANDS * ROWS, np.uint64) | np.uint64(1)).astype(np.uint32)
-BAND_SALTS = _rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) | np.uint64(1)
+
+@lru_cache(maxsize=4)
+def hash_functions(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Salts and factors of the MinHash functions, and the salts of the bands; fixed for each shape."""
+    rng = np.random.Generator(np.random.PCG64(20240517))
+    salts = rng.integers(0, 1 << 32, bands * rows, np.uint64).astype(np.uint32)
+    factors = (rng.integers(0, 1 << 32, bands * rows, np.uint64) | np.uint64(1)).astype(np.uint32)
+    return salts, factors, rng.integers(0, 1 << 63, (bands, rows), np.uint64) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -61,18 +66,20 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return sets
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
+def samples(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """The least value of a set under each of the hash functions."""
+    salts, factors, _ = hash_functions(bands, rows)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(len(SALTS), 0xFFFFFFFF, np.uint32)
+    least = np.full(len(salts), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 1024):
-        np.minimum(least, ((x[i : i + 1024, None] ^ SALTS) * FACTORS).min(axis=0), out=least)
+        np.minimum(least, ((x[i : i + 1024, None] ^ salts) * factors).min(axis=0), out=least)
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
-    return arrays.mix((arrays.mix(rows + BAND_SALTS) * BAND_SALTS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+def band_keys(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    *_, salts = hash_functions(bands, rows)
+    values = least.reshape(bands, rows).astype(np.uint64)
+    return arrays.mix((arrays.mix(values + salts) * salts).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
 def odd_sketch(shingles: np.ndarray) -> np.ndarray:
@@ -87,20 +94,20 @@ SIGNATURE = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands
 SET = ["n_shingles", "set_a", "set_b"]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Set size, two sums that identify the set, band keys and sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in arrays.slices(batches, "text"):
                 sets = shingle_sets(batch.column("text"))
-                least = [samples(s) if len(s) else None for s in sets]
+                least = [samples(s, bands, rows) if len(s) else None for s in sets]
                 sums = [[int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (s, arrays.mix(s * arrays.BASE))] for s in sets]
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64()),
-                    pa.array([[] if x is None else band_keys(x).view(np.int64) for x in least], longs),
+                    pa.array([[] if x is None else band_keys(x, bands, rows).view(np.int64) for x in least], longs),
                     pa.array([odd_sketch(x) if len(x) else [] for x in sets], longs),
                 ], ["doc_id", *SET, "bands", "sketch"])
 
@@ -191,9 +198,9 @@ def links(docs: DataFrame, classes: DataFrame, least: int = LEAST) -> DataFrame:
     return first.union(linked(new, texts, least))
 
 
-def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: int = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: its set size, the least document of its group, and whether it is that document."""
-    signed = cut(signatures(docs))
+    signed = cut(signatures(docs, bands, rows))
     classes = cut(signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*SET).agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     groups = components(links(docs, classes, least), "a", "b")

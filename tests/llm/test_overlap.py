@@ -103,6 +103,37 @@ def test_sketch_bound_keeps_similar_sets(spark):
             assert max(seen) < bound if similar else n < 100 or min(seen) > bound
 
 
+def test_pipeline_stage_links_pairs_from_080_on(spark):
+    """Copies of similarity 0.80 to 0.85, which the op3 contract leaves apart, are reduced by the stage as brute force does."""
+    import corpus_pipeline
+
+    rows = [(i, prose(5000 + i, 60 + 7 * i, 4000)) for i in range(40)]
+    for i in range(40):
+        words = rows[i][1].split()
+        n = len(words)
+        rows.append((100 + i, " ".join(words[: n - round(n * (0.14 + 0.002 * i))])))  # a copy shortened
+        rows.append((200 + i, " ".join([*words[:20], "changed", *words[21:40], *["changed"] * (i % 2), *words[40 + i % 2 :]])))
+    exact = [f"x{i}" for i in range(94)]  # 90 shingles; 80 of them in the copy of 80 + 4 words, 72 in that of 76
+    rows += [(300, " ".join(exact)), (301, " ".join(exact[:76])), (302, " ".join([f"y{i}" for i in range(94)])), (303, " ".join([f"y{i}" for i in range(75)]))]
+    want = {d for d, _, c in expected_groups(rows, 80) if d == c}
+    at_85 = {d for d, _, c in expected_groups(rows, 85) if d == c}
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "")
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == want
+    assert len(at_85 - want) > 20 and 301 not in want and 301 in at_85 and 303 in want
+
+
+@pytest.mark.parametrize("j", [0.80, 0.82])
+def test_sketch_bound_at_lower_similarity(spark, j):
+    rng = np.random.default_rng(5)
+    for n in (20, 150, 1500, 8000):
+        bound = spark.range(1).select(minhash.most_bits(minhash.F.lit(n), minhash.F.lit(n), 80)).first()[0]
+        d = int(n * (1 - j) / (1 + j))
+        for _ in range(40):
+            pool = rng.integers(0, 1 << 63, n + d, np.uint64) * np.uint64(2)
+            a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[: n - d], pool[n:]]))
+            assert int(np.bitwise_count((minhash.odd_sketch(a) ^ minhash.odd_sketch(b)).view(np.uint64)).sum()) < bound
+
+
 def test_components(spark):
     rng = random.Random(4)
     chain = [(i, i + 1) for i in range(100, 140)]
