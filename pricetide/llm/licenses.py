@@ -1,7 +1,7 @@
 """Licence scan over a positional index of rare template words, in DataFrame expressions only.
 
 Each licence template is indexed by its few words of highest inverse document frequency, with their places in the
-template. A file looks up its own rarest licence words; hits of one template that agree on where the template would begin
+template. A file looks up all of these words that it has; hits of one template that agree on where the template would begin
 are intersected, and an alignment counts only if the template's mandatory key phrase stands there word for word. Document
 frequencies are counted over all documents. Besides, three base phrases are located wherever their words stand in a row.
 
@@ -24,7 +24,6 @@ from pricetide.llm.rows import KEY, keyed
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 INDEXED_WORDS = 3
-FILE_WORDS = 8
 
 
 class Template(NamedTuple):
@@ -95,9 +94,9 @@ def template_labels(words: DataFrame) -> DataFrame:
     counts, total = document_frequencies(words)
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in vocabulary()}
     postings = index_rows(idf)
-    ranked = F.array(*map(F.lit, sorted({r[0] for r in postings}, key=lambda w: (-idf[w], w))))
+    indexed = F.array(*map(F.lit, sorted({r[0] for r in postings})))
     reach = max(len(t.text.split()) for t in TEMPLATES)
-    rarest = words.withColumn("rare", F.slice(F.array_intersect(ranked, "words"), 1, FILE_WORDS)).filter(F.size("rare") > 0)
+    rarest = words.withColumn("rare", F.array_intersect(indexed, "words")).filter(F.size("rare") > 0)
     places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("rare", w), i)), lambda i: i.isNotNull())
     hits = rarest.select(*KEY, "words", F.explode(places).alias("at")).select(
         *KEY, F.element_at("words", F.col("at") + 1).alias("word"), "at", F.greatest(F.col("at") - reach, F.lit(0)).alias("from"),

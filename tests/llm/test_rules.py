@@ -72,6 +72,20 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def test_licenses_of_files_with_many_notices(spark):
+    """No notice is lost because of the others in the file."""
+    of = {t.key: t.text for t in licenses.TEMPLATES}
+    every = {t.label for t in licenses.TEMPLATES}
+    some = ["apache license version 2", "mit license", "redistribution and use in source and binary forms", "gnu general public license version 3"]
+    other = ["apache license version 2", "permission is hereby granted free of charge", some[2], "cc by 4 0"]
+    rows = [(1, ". ".join(t.text for t in licenses.TEMPLATES)), (2, "\n".join(f"{prose(50 + i, 300)}\n{t.text}" for i, t in enumerate(licenses.TEMPLATES))),
+            (3, ". ".join(of[k] for k in some)), (4, ". ".join(of[k] for k in other)), *[(10 + i, prose(i, 30)) for i in range(20)]]
+    got = by_id(licenses.scan(documents(spark, rows)))
+    labels = {i: set(r[0]["labels"].split(",")) for i, r in got.items()}
+    assert labels[1] == labels[2] == every | {"gpl", "cc-by", "reserved"} and got[1][0]["score"] == 1
+    assert labels[3] == {"apache-2.0", "mit", "bsd", "gpl-3.0", "gpl"} and labels[4] == {"apache-2.0", "mit", "bsd", "cc-by-4.0", "cc-by"}
+
+
 def expected_quality(text):
     t = text or ""
     words = SPACE.findall(t)
