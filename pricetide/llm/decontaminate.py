@@ -7,7 +7,8 @@ Those few are joined with the benchmark's seeds by hash, and each resulting alig
 word by word: the best run of ``OVERLAP`` words must agree in ``AGREE`` of them.
 
 Words are lower-cased runs of ASCII letters, digits and all other characters above ASCII. An item shorter than a mask is
-looked for as a whole, word for word; one of fewer than ``LEAST_WORDS`` words is too common to be told from chance and is
+looked for as a whole, word for word; one as long as a mask also by its first and its last seven words, since all masks
+look at its first and last word and either may be the one that differs; one of fewer than ``LEAST_WORDS`` words is too common to be told from chance and is
 not looked for.
 
 Defined results: null or empty documents and items match nothing; repeated documents or items give one row per pair of
@@ -71,15 +72,20 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "item_id bigint, words array<bigint>").filter(F.size("words") >= LEAST_WORDS).distinct()
 
 
+def whole_run(n_words: int) -> int:
+    """Length of the runs that an item of so many words is looked for by, besides the masks."""
+    return n_words if n_words < SPAN else SPAN - 1
+
+
 def item_seeds(items: DataFrame) -> DataFrame:
-    """``seed, item_id, place`` of every item; a short item has one seed, its whole run."""
+    """``seed, item_id, place`` of every item; a short item has one seed, its whole run, one of eight words two runs of seven more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for item, listed in zip(batch.column("item_id").to_pylist(), batch.column("words")):
                     hashes = np.array(listed.values).view(np.uint64)
-                    for _, seeds in spaced_seeds(hashes, [len(hashes)] if len(hashes) < SPAN else []):
+                    for _, seeds in spaced_seeds(hashes, [whole_run(len(hashes))] if len(hashes) <= SPAN else []):
                         yield pa.RecordBatch.from_arrays(
                             [arrays.signed(seeds), pa.array([item] * len(seeds), pa.int64()), pa.array(range(len(seeds)), pa.int64())],
                             ["seed", "item_id", "place"])
@@ -171,7 +177,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that overlap: the best run's agreement and place, and the item's whole."""
     items = cut(item_words(benchmark))
     seeds = cut(item_seeds(items))
-    lengths = [r["n"] for r in items.select(F.size("words").alias("n")).filter(F.col("n") < SPAN).distinct().collect()]
+    lengths = {whole_run(r["n"]) for r in items.select(F.size("words").alias("n")).filter(F.col("n") <= SPAN).distinct().collect()}
     regions = cut(candidates(docs, seeds, sorted(lengths)))
     hits = regions.select("doc_id", "first", F.explode("hits").alias("hit")).select("doc_id", "first", "hit.*")
     aligned = hits.join(seeds.withColumnRenamed("place", "item_place"), "seed").select(

@@ -207,6 +207,22 @@ def test_masks_hit_every_run_with_three_differences():
                    for at in range(decontaminate.OVERLAP - decontaminate.SPAN + 1))
 
 
+def test_items_of_eight_words_with_one_difference(spark):
+    """Any one of the words may differ, the first and the last too."""
+    items = [(n, prose(600 + n, n)) for n in (7, 8, 9, 13)]
+    rows = []
+    for n, item in items:
+        for i in range(n):
+            words = item.split()
+            words[i] = "differs"
+            rows.append((100 * n + i, f"{prose(n, 20)} {' '.join(words)} {prose(n + 50, 20)}"))
+    rows += [(9000, " ".join(items[1][1].split()[1:])), (9001, " ".join(items[1][1].split()[:-1])), (9002, " ".join(items[1][1].split()[1:-1]))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(documents(spark, rows), benchmark).collect()}
+    assert got == expected_overlaps(rows, items)
+    assert {(800 + i, 8) for i in range(8)} | {(9000, 8), (9001, 8)} <= got and (9002, 8) not in got
+
+
 def expected_overlaps(rows, items):
     out = set()
     for (d, text, *_), (i, item) in itertools.product(rows, items):
