@@ -1,7 +1,7 @@
 """Best-fit decreasing packing of tokenized documents into fixed windows.
 
 A document is tokenized, closed by an end id and cut: full windows first, the rest as one shorter piece. Pieces are dealt
-to lanes of bounded size by a hash; inside a lane they are placed in decreasing length, each into the open window with
+to lanes of bounded size by a hash, in which every row has a salt of its own so that repeated rows spread; inside a lane they are placed in decreasing length, each into the open window with
 the least room that still holds it. A segment tree over the remaining room finds that window in ``log2(window)`` steps.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed each; ties of length are broken by
@@ -200,5 +200,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         table = table.append_column("sequence_id", pa.array([base + w for w in which], pa.int64()))
         return table.append_column("offset", pa.array(offsets, pa.int64())).drop_columns(["__lane"])
 
-    dealt = pieces.withColumn("__lane", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(lanes)))
+    # places in the checkpointed pieces stay the same when a task is rerun
+    dealt = pieces.withColumn("__lane", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(lanes)))
     return dealt.groupBy("__lane").applyInArrow(lane, PLACED)

@@ -197,6 +197,14 @@ def test_packing(spark, lane):
         assert len(windows) <= 1.05 * sum(r["length"] for r in got) / packing.WINDOW + 1
 
 
+def test_repeated_rows_spread_over_lanes(spark):
+    rows = [(None, "a row without id"), (5, "a row with an id")] * 1500 + [(100 + i, prose(i, 20)) for i in range(200)]
+    got = packing.pack(documents(spark, rows), TOKENIZER, lane_pieces=100).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(pieces_of(rows), key=str)
+    lanes = collections.Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(lanes) == 32 and max(lanes.values()) < 200
+
+
 def test_best_fit_decreasing():
     rng = random.Random(2)
     for _ in range(30):
