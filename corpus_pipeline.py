@@ -1,8 +1,10 @@
 """From raw documents to packed training windows, in five stages.
 
 ``STAGES`` lists them in order. Each takes the documents that the one before kept and returns documents with the same
-columns, the last one packed pieces. Rows without a doc_id cannot be named in a decision about groups or overlaps, and
-are kept by those two stages.
+columns, the last one packed pieces. Decisions about groups and overlaps name a row by a 64-bit hash of its id and whole
+text, so rows without id are examined like all others, and different texts under one id are decided on their own. Of a
+group the document of least id stays, a row without id only if none has one. Rows without id and with equal words are one
+document. Equal rows with an id share their decision and stay or go together.
 """
 
 from __future__ import annotations
@@ -22,10 +24,22 @@ from pricetide.sources.lineage import cut
 NEAR_LEAST, NEAR_BANDS = 80, 36
 
 
+ROW = "__row"
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """All columns, and a key of id and text that is never null; without an id it is a key of the text."""
+    return docs.withColumn(ROW, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+
+
+def _examined(docs: DataFrame) -> DataFrame:
+    """What the operators read, the key in place of the id."""
+    return docs.select(F.col(ROW).alias("doc_id"), "text")
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose id is not among the rejected, columns as they were."""
-    ids = rejected.select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(ids, docs["doc_id"] == F.col("__rejected"), "left_anti")
+    """The rows whose key is not among the rejected."""
+    return docs.join(rejected.select(ROW).distinct(), ROW, "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +48,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, minhash.near_duplicates(docs, NEAR_LEAST, NEAR_BANDS).filter(~F.col("kept")))
+    named = _named(docs)
+    keys = cut(named.groupBy(ROW).agg(F.first(F.col("doc_id").cast("long")).alias("id"), F.count("*").alias("copies")))
+    once, repeated = named, keys.filter("copies > 1")
+    if not repeated.isEmpty():  # equal rows are examined once
+        firsts = cut(named.join(repeated, ROW, "left_semi").dropDuplicates([ROW]))
+        once = _without(named, repeated).unionByName(firsts)
+    groups = cut(minhash.near_duplicates(_examined(once), NEAR_LEAST, NEAR_BANDS).withColumnRenamed("doc_id", ROW).join(keys, ROW))
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", ROW))[ROW].alias(ROW))
+    rejected = _without(groups, kept).select(ROW)
+    copies = groups.filter("id is null and copies > 1 and n_shingles > 0").select(ROW)
+    out = _without(named, rejected.union(copies))
+    if not repeated.isEmpty():
+        out = out.unionByName(_without(firsts.join(copies, ROW, "left_semi"), rejected))
+    return out.select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate.overlaps(docs, read(spark, sf_dir, "benchmark")))
+    named = _named(docs)
+    found = decontaminate.overlaps(_examined(named), read(spark, sf_dir, "benchmark")).withColumnRenamed("doc_id", ROW)
+    return _without(named, found).select(docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

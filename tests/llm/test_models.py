@@ -253,3 +253,28 @@ def test_pipeline(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(str, whole)) == sorted(map(str, seen["packing"].collect()))
     assert decontaminate.OVERLAP == 13
+
+
+def test_pipeline_decides_on_rows(spark, tmp_path):
+    """Rows without id are examined, and texts that share an id are decided on their own."""
+    item, base, other = prose(71_001, 30), prose(71_002, 120), prose(71_003, 90)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(50, base), (None, base), (None, base + " end"), (None, other), (None, other), (None, "start " + other), (None, "alone " + prose(71_004, 50)),
+            (60, prose(71_005, 80)), (60, base + " tail"), (70, prose(71_006, 80)), (70, f"{prose(71_007, 20)} {item}"),
+            (None, f"{prose(71_008, 20)} {item}"), (80, "equal row of one id " * 3), (80, "equal row of one id " * 3), (90, None), (91, ""), (None, ""), (None, None)]
+    docs = documents(spark, rows)
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert near.schema.names == docs.schema.names
+    left = collections.Counter((r["doc_id"], r["text"]) for r in near.collect())
+    want = collections.Counter(rows)
+    for gone in ((None, base), (None, base + " end"), (60, base + " tail")):
+        del want[gone]
+    lone = [r for r in ((None, other), (None, "start " + other)) if left[r]]
+    assert len(lone) == 1 and left[lone[0]] == 1  # one of the group of rows without id
+    for r in ((None, other), (None, "start " + other)):
+        want.pop(r), left.pop(r, None)
+    assert left == want
+    clean = corpus_pipeline.drop_benchmark_leaks(spark, near, str(tmp_path))
+    assert clean.schema.names == docs.schema.names
+    assert collections.Counter((r["doc_id"], r["text"]) for r in clean.collect()) - want == collections.Counter({lone[0]: 1})
+    assert not any(item in (r["text"] or "") for r in clean.collect()) and clean.filter("doc_id = 70").count() == 1
