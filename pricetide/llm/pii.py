@@ -1,7 +1,8 @@
 """Replacement of personal data by keyed surrogates of the same type and format.
 
 Detected are e-mail addresses, IPv4 addresses, payment card numbers with a valid check digit, social security numbers,
-telephone numbers, and person names (a title with a name, or a known first name with a surname; later mentions of either
+telephone numbers (international with + or 00; national as usual in North America, France, Spain and Germany, with or
+without separators), and person names (a title with a name, or a known first name with a surname; later mentions of either
 part in the same text follow).
 
 A surrogate is a keyed permutation of its original inside the set of values of equal format: digits stay digits, letters
@@ -48,13 +49,30 @@ ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "áàâäãåéèê
 _CLASS = {c: a for a in ALPHABETS for c in a}
 _POOL = {name.casefold(): pool for pool, names in FIRST_NAMES.items() for name in names}
 
+_SEP = r"(?:[ ./-]?\(|\)[ ./-]?|[ ./-])?"
+_UNIT = r"(?:(?:\)[ ./-]?|[ ./-])\d(?=\d)|\d)"  # a digit; groups have two or more
+_DATE = r"(?!\d{2}(?P<dot>[./-])\d{2}(?P=dot)(?:19|20)\d{2}(?!\d))"
+#: telephone numbers in the order in which they are tried, so that a number does not run into the next one
+PHONES = [
+    r"(?:\+\d{1,3}[ ./-]?)?(?:\(\d{3}\)[ ./-]?|\d{3}[ ./-])\d{3}[ ./-]\d{4}",  # North America
+    rf"(?:\+|00)1(?:{_SEP}\d){{10}}",
+    rf"(?:\+|00)3[34](?:[ ./-]?\(0\))?(?:{_SEP}\d){{9}}",  # France, Spain
+    rf"\+\d(?:{_SEP}\d){{7,14}}",  # any country
+    rf"00[1-9](?:{_SEP}\d){{9,12}}",
+    r"0[1-9](?P<pairs>[ ./-])\d{2}(?:(?P=pairs)\d{2}){3}",  # France
+    rf"{_DATE}\(?0[1-9]{_UNIT}{{7,11}}",  # Germany, France, United Kingdom
+    rf"[6-9]\d{_UNIT}{{7}}",  # Spain
+    r"[2-9]\d{2}[2-9]\d{6}",  # North America
+    r"(?:\+\d{1,3}[ ./-]?)?(?:\(\d{2,4}\)[ ./-]?|\d{2,4}[ ./-])\d{3,4}[ ./-]?\d{3,4}",
+]
+
 _UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ"
 PATTERN = re.compile(
     r"(?P<email>[\w+](?:[\w.+-]*[\w+-])?@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
     r"|(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d))"
     r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}(?P<space>[ -])\d{6}(?P=space)\d{5})(?!\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w))", re.ASCII)
+    rf"|(?P<phone>(?<![\w.])(?=[+(\d])(?:{'|'.join(PHONES)})(?!\w))", re.ASCII)
 KINDS = ("email", "ip", "card", "ssn", "phone")
 EMAIL = re.compile(r"[\w+](?:[\w.+-]*[\w+-])?@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 NAME = re.compile(rf"(?:\b({'|'.join(TITLES)})\.? )?\b([{_UPPER}][^\W\d_]+)(?: ([{_UPPER}][^\W\d_]+(?:-[{_UPPER}][^\W\d_]+)?))?")
@@ -220,7 +238,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     for m in PATTERN.finditer(text):
         kind, value = next(k for k in KINDS if m[k]), m[0]
         digits = _digits(value) if kind in ("card", "phone") else ""
-        if kind == "card" and luhn_digit(digits[:-1]) != digits[-1] or kind == "phone" and not 9 <= len(digits) <= 15:
+        if kind == "card" and luhn_digit(digits[:-1]) != digits[-1] or kind == "phone" and not 9 - (value[0] == "+") <= len(digits) <= 15:
             continue
         if kind != "email":
             found.append((m.start(), m.end(), kind, value))

@@ -136,6 +136,31 @@ def test_surrogates_keep_type_and_coreference():
     assert pii.replace(PII, b"key")[0] == text != pii.replace(PII, b"other")[0]
 
 
+PHONES = {
+    "en": ["+14155552671", "4155552671", "+1 (456) 555-2186", "415/555-2671", "(415) 555-2671", "+44 20 7946 0958", "020 7946 0958"],
+    "fr": ["+33 1 23 45 67 89", "+33123456789", "+33 (0)1 23 45 67 89", "01 23 45 67 89", "01.23.45.67.89", "0612345678", "0033 1 23 45 67 89"],
+    "es": ["+34 612 34 56 78", "+34612345678", "612 34 56 78", "612 345 678", "91 234 56 78", "612345678"],
+    "de": ["+49 (0)30 1234567", "+49 171 1234567", "+4915112345678", "0171/1234567", "030 123 45 67", "(030) 1234567", "+352 123456"],
+}
+
+
+@pytest.mark.parametrize("lang", PHONES)
+def test_telephone_numbers_of_each_form(lang):
+    around = {"en": "Call {} today.", "fr": "Appelez le {}, merci.", "es": "Llame al {}; gracias.", "de": "Telefon: {} (Büro)"}[lang]
+    for number in PHONES[lang]:
+        text, done = pii.replace(around.format(number), b"key")
+        assert [(k, o) for _, _, k, o, _ in done] == [("phone", number)]
+        assert number not in text and re.sub(r"\d", "9", text) == re.sub(r"\d", "9", around.format(number))
+    joined = ", ".join(PHONES[lang])
+    assert [v for *_, k, v in pii.entities(joined) if k == "phone"] == PHONES[lang]
+
+
+def test_numbers_that_are_no_telephone_numbers():
+    text = "on 2024-05-17 12:30 or 01.02.2024 12:30, 0.123456789 of 1700000000, id 0000123456, rows 10 20 30 40 50, 12345678"
+    assert pii.entities(text) == []
+    assert [k for *_, k, _ in pii.entities("+33 1 23 45 67 89 4337166598464399")] == ["phone", "card"]
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000, 4096])
 def test_permutations(size):
     assert sorted(pii.permute(i, size, b"k", "t") for i in range(size)) == list(range(size))
