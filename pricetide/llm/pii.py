@@ -10,7 +10,9 @@ stay letters of their script, case and punctuation stay in place, private addres
 valid check digit, first names go to first names of the same script and gender. A permutation gives different originals
 different surrogates, and one original the same surrogate in every text, so equal mentions stay equal across the corpus
 without any exchange between tasks. In each text a surrogate that would equal another original or surrogate there is
-drawn again under the next tweak.
+drawn again under the next tweak; a surrogate drawn again holds for that text only. A text never gets such a value: where
+a pool of first names or a short format has no free one left, first names are permuted letter by letter like surnames,
+letters are added to words, and private addresses are drawn from the largest private range.
 
 Defined results: null stays null and empty stays empty, with no entities; text without entities is unchanged; repeated
 rows get a result each; rows without id are treated alike; other columns are kept by ``redacted``.
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 
 DEFAULT_KEY = b"set a secret key of your own"
 ROUNDS = 8
+#: draws inside a format before it is widened
+DRAWS = 100
 
 #: first names by script and gender; fixed values
 FIRST_NAMES = {
@@ -120,6 +124,12 @@ def permute_text(text: str, key: bytes, *tweak) -> str:
     return "".join(reversed(out))
 
 
+def permute_word(text: str, key: bytes, kind: str, tweak: int) -> str:
+    """``permute_text`` under a tweak; after every ``DRAWS`` of them with one letter more."""
+    more = next((c for c in reversed(text) if c.lower() in _CLASS), "x")
+    return permute_text(text + more * (tweak // DRAWS), key, kind, tweak)
+
+
 def luhn_digit(body: str) -> str:
     total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body)))
     return str(-total % 10)
@@ -168,6 +178,8 @@ def _ssn(text: str, key: bytes, tweak: int) -> str:
 
 def _ip(text: str, key: bytes, tweak: int) -> str:
     a, b, c, d = map(int, text.split("."))
+    if tweak >= DRAWS and ((a, b) in ((192, 168), (169, 254)) or a == 172 and b >> 4 == 1):
+        a = 10
     value = a << 24 | b << 16 | c << 8 | d
     bits = 24 if a == 10 or a == 127 else 20 if a == 172 and b >> 4 == 1 else 16 if (a, b) in ((192, 168), (169, 254)) else 32
     public = lambda v: 0 < v >> 24 < 224 and v >> 24 not in (10, 127) and v >> 20 != 0xAC1 and v >> 16 not in (0xC0A8, 0xA9FE)
@@ -181,7 +193,7 @@ def _email(text: str, key: bytes, tweak: int) -> str:
     labels = domain.split(".")
     keep = 2 if labels[-2] == "example" else 1  # the reserved name stays
     new = [permute_text(x, key, "domain") for x in labels[:-keep]] + labels[-keep:]
-    return permute_text(local, key, "email", tweak) + "@" + ".".join(new)
+    return permute_word(local, key, "email", tweak) + "@" + ".".join(new)
 
 
 SURROGATES = {"email": _email, "ip": _ip, "card": _card, "ssn": _ssn, "phone": _phone}
@@ -199,10 +211,12 @@ def _like(form: str, text: str) -> str:
 
 
 def first_name(name: str, key: bytes, tweak: int) -> str:
+    """Another name of the pool for each tweak, until they are used up; then, and without a pool, letter by letter."""
     pool = _POOL.get(name.casefold())
-    if pool is None:
-        return permute_text(name, key, "name", tweak)
-    for _ in range(1 + tweak % (len(FIRST_NAMES[pool]) - 1)):
+    others = len(FIRST_NAMES[pool]) - 1 if pool else 0
+    if tweak >= others:
+        return permute_word(name, key, "name", tweak - others)
+    for _ in range(1 + tweak):
         name_of = _cycle(key, pool)[name.casefold()]
         name, out = name_of, name_of
     return out
@@ -264,14 +278,13 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str,
     tweaks: dict[tuple, int] = {}
     used: dict[tuple, tuple] = {}
     done, out, at = [], [], 0
-    make = lambda kind, v, t: _like(v, first_name(v, key, t)) if kind == "first" else permute_text(v, key, "name", t) if kind == "last" else SURROGATES[kind](v, key, t)
+    make = lambda kind, v, t: _like(v, first_name(v, key, t)) if kind == "first" else permute_word(v, key, "name", t) if kind == "last" else SURROGATES[kind](v, key, t)
     for a, b, kind, value in found:
         who = canonical(kind, value)
         tweak = tweaks.get(who, 0)
         while who not in tweaks:
             new = canonical(kind, make(kind, value, tweak))
-            pool = len(FIRST_NAMES[_POOL[who[1]]]) - 1 if kind == "first" and who[1] in _POOL else 1000
-            if (new not in originals and new not in used) or tweak >= pool:
+            if new not in originals and new not in used:
                 tweaks[who], used[new] = tweak, who
                 break
             tweak += 1

@@ -136,6 +136,34 @@ def test_surrogates_keep_type_and_coreference():
     assert pii.replace(PII, b"key")[0] == text != pii.replace(PII, b"other")[0]
 
 
+@pytest.mark.parametrize("pool", pii.FIRST_NAMES)
+def test_no_surrogate_is_taken_twice(pool):
+    """A text with every first name of a pool: one surrogate each, none of them another person's name."""
+    names = pii.FIRST_NAMES[pool]
+    text = " ".join(f"{n} {n[0]}{n[1:]}son{chr(97 + i)}, later {n}." for i, n in enumerate(names))
+    new, done = pii.replace(text, b"k")
+    of = collections.defaultdict(set)
+    for *_, kind, old, surrogate in done:
+        if kind == "first":
+            of[old].add(surrogate)
+    assert set(of) == set(names) and all(len(x) == 1 for x in of.values())
+    taken = {x for xs in of.values() for x in xs}
+    assert len(taken) == len(names) and not taken & set(names)
+    assert all(x[0].isupper() and x.isalpha() for x in taken)
+    assert pii.replace(text, b"k")[0] == new
+
+
+def test_short_formats_are_widened():
+    """All values of a short format in one text, so none of it is free."""
+    addresses = [f"{c}@mail6.example.com" for c in "aeiou"] + ["_@mail6.example.com", "5@mail6.example.com"]
+    ips = [f"192.168.{i // 256}.{i % 256}" for i in range(1500)]
+    for values in (addresses, ips):
+        _, done = pii.replace(" , ".join(values), b"k")
+        new = [n for *_, n in done]
+        assert [o for *_, o, _ in done] == values and len(set(new)) == len(values) and not set(new) & set(values)
+    assert pii._ip("192.168.1.1", b"k", pii.DRAWS).startswith("10.")
+
+
 PHONES = {
     "en": ["+14155552671", "4155552671", "+1 (456) 555-2186", "415/555-2671", "(415) 555-2671", "+44 20 7946 0958", "020 7946 0958"],
     "fr": ["+33 1 23 45 67 89", "+33123456789", "+33 (0)1 23 45 67 89", "01 23 45 67 89", "01.23.45.67.89", "0612345678", "0033 1 23 45 67 89"],
