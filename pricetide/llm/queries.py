@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontaminate, language, licenses, minhash, packing, pii, quality, secrets, substrings, toxicity
+from pricetide.llm import decontaminate, language, licenses, minhash, packing, pieces, pii, quality, secrets, substrings, toxicity
 from pricetide.llm.twins import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +61,14 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    encoded = pieces.encoded(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licenses": op2_licenses,
@@ -71,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_substrings": op10_substrings,
+    "op12_pieces": op12_pieces,
 }
