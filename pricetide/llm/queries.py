@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontaminate, language, licenses, minhash, packing, pieces, pii, quality, secrets, substrings, toxicity
+from pricetide.llm import decontaminate, language, licenses, minhash, packing, pieces, pii, quality, resampling, secrets, substrings, toxicity
 from pricetide.llm.twins import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,6 +61,11 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_substrings": op10_substrings,
+    "op11_resampling": op11_resampling,
     "op12_pieces": op12_pieces,
 }

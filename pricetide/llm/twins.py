@@ -39,4 +39,46 @@ kept AS (
 SELECT t.doc_id, len(words) AS n_words, len(words) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM texts t LEFT JOIN kept k USING (doc_id)"""
 
-ORACLES = {"op3_minhash": NEAR_DUPLICATES, "op10_substrings": SUBSTRINGS}
+LETTERS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _nibble(value: int) -> int:
+    for _ in range(4):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+#: the CRC-32 register's change by each half byte
+CRC_NIBBLES = ", ".join(str(_nibble(i)) for i in range(16))
+
+#: the CRC of each distinct feature by half bytes, bucket totals, gains, weights and the draw
+RESAMPLING = f"""
+WITH texts AS (
+  SELECT true AS own, doc_id AS id, {LETTERS} AS words FROM documents
+  UNION ALL SELECT false, item_id, {LETTERS} FROM benchmark),
+runs AS (
+  SELECT own, id, array_to_string(words[i:i + k - 1], ' ') AS feature
+  FROM (SELECT own, id, words, unnest(range(1, len(words) + 1)) AS i FROM texts) CROSS JOIN (VALUES (1), (2), (3)) sizes(k)
+  WHERE i + k - 1 <= len(words)),
+counted AS (SELECT own, id, feature, count(*) AS n FROM runs GROUP BY ALL),
+digits AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM counted)),
+buckets AS (
+  SELECT feature, xor(list_reduce(
+    list_transform(range(len(h)), lambda i: (strpos('0123456789ABCDEF', h[xor(i, 1) + 1]) - 1)::BIGINT),
+    lambda c, x: xor(list_extract([{CRC_NIBBLES}]::BIGINT[], (xor(c, x) & 15) + 1), c >> 4), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM digits),
+placed AS (SELECT own, id, bucket, sum(n) AS n FROM counted JOIN buckets USING (feature) GROUP BY ALL),
+totals AS (
+  SELECT bucket, coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t FROM placed GROUP BY 1),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM totals) + 10000) / ((s + 1) * ((SELECT sum(t) FROM totals) + 10000))))::BIGINT AS gain FROM totals),
+weights AS (SELECT id, sum(n) AS n_features, sum(n * gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE own GROUP BY 1),
+scored AS (
+  SELECT t.id AS doc_id, len(words) >= 20 AS fit, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('42:' || t.id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM texts t LEFT JOIN weights w USING (id) WHERE t.own)
+SELECT doc_id, n_features, weight, score, 
+  CASE WHEN fit AND row_number() OVER best <= (5 * (SELECT count(*) FROM scored WHERE fit)) // 100 THEN row_number() OVER best END AS rank
+FROM scored WINDOW best AS (PARTITION BY fit ORDER BY score DESC, doc_id)"""
+
+ORACLES = {"op3_minhash": NEAR_DUPLICATES, "op10_substrings": SUBSTRINGS, "op11_resampling": RESAMPLING}
