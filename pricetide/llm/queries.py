@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontaminate, language, licenses, minhash, packing, pieces, pii, quality, resampling, secrets, substrings, toxicity
+from pricetide.llm import decontaminate, language, lexical, licenses, minhash, packing, pieces, pii, quality, resampling, secrets, substrings, toxicity
 from pricetide.llm.twins import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,10 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licenses": op2_licenses,
@@ -87,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings,
     "op11_resampling": op11_resampling,
     "op12_pieces": op12_pieces,
+    "op13_search": op13_search,
 }

@@ -81,4 +81,20 @@ SELECT doc_id, n_features, weight, score,
   CASE WHEN fit AND row_number() OVER best <= (5 * (SELECT count(*) FROM scored WHERE fit)) // 100 THEN row_number() OVER best END AS rank
 FROM scored WINDOW best AS (PARTITION BY fit ORDER BY score DESC, doc_id)"""
 
-ORACLES = {"op3_minhash": NEAR_DUPLICATES, "op10_substrings": SUBSTRINGS, "op11_resampling": RESAMPLING}
+#: tf of each item term in each document, weights and scores in whole numbers
+SEARCH = f"""
+WITH texts AS (SELECT row_number() OVER () AS place, doc_id, {LETTERS} AS words FROM documents),
+sizes AS (SELECT place, doc_id, len(words) AS n FROM texts WHERE len(words) > 0),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+asked AS (SELECT DISTINCT item_id, unnest({LETTERS}) AS term FROM benchmark),
+counts AS (
+  SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(words) AS term FROM texts) SEMI JOIN asked USING (term) GROUP BY 1, 2),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM counts GROUP BY 1), totals),
+scores AS (
+  SELECT item_id, place, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // totals.words))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (place), totals GROUP BY 1, 2)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+  FROM scores JOIN sizes USING (place) WHERE score > 0) WHERE rank <= 50"""
+
+ORACLES = {"op3_minhash": NEAR_DUPLICATES, "op10_substrings": SUBSTRINGS, "op11_resampling": RESAMPLING, "op13_search": SEARCH}
