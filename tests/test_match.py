@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricetide import fixed_values as V
+from pricetide.functions.block_bounds import Summaries, highest_scores, summary
 from pricetide.functions.pair_scores import Side, best_matches
 from pricetide.functions.similarity import common_subsequence, token_set_ratio, tokens
 from pricetide.operators import match as M
@@ -82,6 +83,59 @@ def test_block_scoring_equals_brute_force(k, floor):
         assert got.get(l["id"], []) == want
 
 
+def test_no_product_of_a_block_passes_its_bound():
+    rng = random.Random(8)
+    left, right = random_rows(rng, 80), random_rows(rng, 200) + [dict(id="e", name="", model="!", brand="", attrs=[], print="")]
+    side = Side.of(*[[r[c] for r in left] for c in ("id", "name", "model", "brand", "attrs", "print")])
+    blocks = [right[i : i + n] for n in (1, 2, 7, 50) for i in range(0, len(right), n)]
+    bounds = highest_scores(side, Summaries.of([summary(b) for b in blocks]))
+    for i, l in enumerate(left):
+        for j, block in enumerate(blocks):
+            assert bounds[i, j] + 0.05 >= max(brute_score(l, p) for p in block), (l, block)
+    near = sum(b < max(bounds[i]) - 10 for i in range(len(left)) for b in bounds[i])
+    assert near > 0.3 * bounds.size  # and the bounds tell blocks apart
+
+
+def family_catalog(spark, families):
+    """Products in families of thirty variants, and four listings a family."""
+    rng = random.Random(2)
+    products, listings = [], []
+    for f in range(families):
+        line = f"{rng.choice('BCDFGKLMNPRSTVZ')}{''.join(rng.choices('abcdefghijklmnopqrstuvwxyz', k=7))} {rng.choice('QXZKW')}{rng.randrange(10, 99)}"
+        brand = rng.choice(["ASUS", "MSI", "Gigabyte", "Corsair"])
+        for v in range(30):
+            name = f"{brand} {line} v{v}"
+            products.append((f"{f:04d}-{v:02d}", name, 1, brand, f"{line} v{v}".lower(), f"f{f}-{v}", True))
+        for v in range(4):
+            name = f"{brand} {line} v{v * 7} new"
+            listings.append((f"L{f}-{v}", name, brand, f"{line} v{v * 7} new", None, f"{line} v{v * 7} new".lower(), 1, "Fans & Accessories"))
+    rng.shuffle(products)
+    rng.shuffle(listings)
+    empty = F.create_map().cast("map<string,string>")
+    return (spark.createDataFrame(listings, "listing_id string, title string, brand string, model string, normalized_model string, "
+                                            "loose_normalized_model string, category_id long, category_name string"),
+            spark.createDataFrame(products, "id string, canonical_name string, category_id long, brand string, model_key string, "
+                                            "fingerprint string, is_active boolean").withColumn("attributes", empty),
+            spark.createDataFrame([], "id string, product_id string"))
+
+
+def test_block_pairs_grow_with_the_category_not_its_square(spark, monkeypatch):
+    monkeypatch.setattr(M, "PROBE_BLOCK", 4)
+    monkeypatch.setattr(M, "PRODUCT_BLOCK", 30)
+    formed, original = [], M.block_pairs
+
+    def counted(probe_side, index):
+        pairs = original(probe_side, index)
+        formed.append((pairs.count(), probe_side.count() * index.select(F.explode("blocks")).count()))
+        return pairs
+
+    monkeypatch.setattr(M, "block_pairs", counted)
+    for families in (20, 80):
+        assert M.rank(*family_catalog(spark, families), k=8).count() == 4 * families * 8
+    (few, _), (many, possible) = formed
+    assert many <= 7 * few and many < possible / 8, formed
+
+
 def brute_rank(listing, products, offers, k):
     counts = {}
     for o in offers:
