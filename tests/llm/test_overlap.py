@@ -73,15 +73,50 @@ def test_near_duplicates(spark):
     assert kept == {d for d, _, c in expected_groups(rows) if d == c}
 
 
-def test_near_duplicates_in_blocks(spark, monkeypatch):
-    """Small blocks and tasks give the same groups."""
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+def test_near_duplicates_by_prefixes(spark, monkeypatch):
+    """Buckets that count as large, and small tasks, give the same groups."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
     monkeypatch.setattr(minhash, "TASK_PARTNERS", 3)
     rows = near_rows()[60:160]
     got = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(documents(spark, rows)).collect())
     assert got == sorted((d, c) for d, _, c in expected_groups(rows))
 
 
+def loose_sets(n, size, rng):
+    """Sets around one base, from equal to half of it replaced, some by members that a few of them share."""
+    base, spare = rng.integers(1 << 40, size=size), rng.integers(1 << 40, size=40)
+    out = []
+    for _ in range(n):
+        edits = rng.integers(size // 2)
+        new = np.r_[spare[rng.integers(40, size=edits // 4)], rng.integers(1 << 40, size=edits - edits // 4)]
+        out.append(set(np.r_[rng.permutation(base)[: size - edits + rng.integers(3)], new].tolist()))
+    return out
+
+
+@pytest.mark.parametrize("least", [85, 80])
+def test_prefix_join_finds_every_similar_pair(spark, least):
+    rng = np.random.default_rng(least)
+    sets = loose_sets(150, 60, rng) + loose_sets(60, 12, rng) + [set(range(k)) for k in range(1, 30)]
+    group = [int(g) for g in rng.integers(len(sets) // 2, size=len(sets))]
+    rows = spark.createDataFrame([(r, group[r], len(s), x) for r, s in enumerate(sets) for x in s], "rep bigint, group bigint, n bigint, shingle bigint")
+    found = {(r["a"], r["b"]) for r in minhash.prefix_pairs(rows, least).distinct().collect()}
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if group[i] != group[j]]
+    similar = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
+    assert len(similar) > 50 and similar <= found
+
+
+def test_prefix_join_grows_with_the_members(spark):
+    """Loose copies of one text, each a group: pairs met, and pairs kept, stay far under the square."""
+    met = []
+    for n in (200, 800):
+        rng = np.random.default_rng(1)
+        base = rng.integers(1 << 40, size=146)
+        sets = [set(np.r_[rng.permutation(base)[: 146 - 14 - k % 40], rng.integers(1 << 40, size=14 + k % 40)].tolist()) for k in range(n)]
+        rows = spark.createDataFrame([(r, r, len(s), x) for r, s in enumerate(sets) for x in s], "rep bigint, group bigint, n bigint, shingle bigint")
+        met.append(minhash.prefix_pairs(rows, 85).count())
+    assert met[1] <= 800
+
+
 def test_no_near_duplicates(spark):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
     got = by_id(minhash.near_duplicates(documents(spark, [(1, None), (2, "")])))
