@@ -2,26 +2,58 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[DataFrame]] = []
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; only a local session without one gets a temporary folder."""
+    """Use the folder the session has or names; there is no other, as a folder of one machine's own would be lost with it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    else:
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the checkpoint folder; later readers, and lost executors, start from the files."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``cut`` returned, when nothing reads them any more."""
+    for frame in frames:
+        named = frame._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if named.isDefined():
+            path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(named.get())
+            path.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is cut inside is deleted at the end, but for what went through ``settled``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        release(*_open.pop())
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed into files that outlive the scope it is made in."""
+    out = cut(df)
+    if _open:
+        _open[-1].pop()
+        if len(_open) > 1:
+            _open[-2].append(out)
+    return out
