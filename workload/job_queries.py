@@ -17,6 +17,7 @@ from workload import adapter
 from workload.adapter import LINE_AS_OF, catalog, lines, read
 from workload.adapter_sql import listing_title, with_ctes
 from workload.registry import query
+from workload.match_sql import BULK_ELIGIBLE, BULK_OUTCOMES, MATCH_CTES, REVIEW_CANDIDATES, REVIEW_QUEUE
 from workload.text_queries import IDENTITY_CTES, printed
 
 # Change capture.
@@ -164,26 +165,26 @@ def _title_catalog(spark, d):
     return base
 
 
-@query("review_candidates")
+@query("review_candidates", with_ctes(REVIEW_CANDIDATES, **MATCH_CTES))
 def _(spark, d):
     out = review.decision_candidates(_title_catalog(spark, d))
     return out.withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query("review_queue_top_candidate")
+@query("review_queue_top_candidate", with_ctes(REVIEW_QUEUE, **MATCH_CTES))
 def _(spark, d):
     c = _title_catalog(spark, d)
     c.listings = c.listings.withColumns({"source_url": F.lit(""), "status": F.lit("available")})
     return review.pending_with_top_candidate(c, limit=500).withColumn("top_reasons", F.array_join("top_reasons", "; "))
 
 
-@query("bulk_eligible_decisions")
+@query("bulk_eligible_decisions", with_ctes(BULK_ELIGIBLE.format(least=client.BULK_ELIGIBLE_SCORE), **MATCH_CTES))
 def _(spark, d):
     rows = review.decision_candidates(_title_catalog(spark, d), k=1)
     return client.bulk_eligible(rows.select("decision_id", "product_id", F.col("score").alias("top_score")))
 
 
-@query("bulk_accept_outcomes")
+@query("bulk_accept_outcomes", with_ctes(BULK_OUTCOMES, **MATCH_CTES))
 def _(spark, d):
     c = _title_catalog(spark, d)
     return review.bulk_outcomes(c, c.decisions.select("id"))
