@@ -3,8 +3,12 @@
 ``STAGES`` lists them in order. Each takes the documents that the one before kept and returns documents with the same
 columns, the last one packed pieces. Decisions about groups and overlaps name a row by a 64-bit hash of its id and whole
 text, so rows without id are examined like all others, and different texts under one id are decided on their own. Of a
-group the document of least id stays, a row without id only if none has one. Rows without id and with equal words are one
-document. Equal rows with an id share their decision and stay or go together.
+group the document of least id stays, a row without id only if none has one. Rows of one id and with equal words are one
+document, whether there is an id or not; rows without words are like nothing and all stay.
+
+Texts are read whole, whatever their length. Ties of a group go to the row with the least hash. Empty tables give no rows, empty
+labels reject nothing, an empty benchmark leaves all documents; further columns, of any names that do not begin with two
+underscores, pass through.
 """
 
 from __future__ import annotations
@@ -57,7 +61,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = cut(minhash.near_duplicates(_examined(once), NEAR_LEAST, NEAR_BANDS).withColumnRenamed("doc_id", ROW).join(keys, ROW))
     kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", ROW))[ROW].alias(ROW))
     rejected = _without(groups, kept).select(ROW)
-    copies = groups.filter("id is null and copies > 1 and n_shingles > 0").select(ROW)
+    copies = groups.filter("copies > 1 and n_shingles > 0").select(ROW)
     out = _without(named, rejected.union(copies))
     if not repeated.isEmpty():
         out = out.unionByName(_without(firsts.join(copies, ROW, "left_semi"), rejected))
