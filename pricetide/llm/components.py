@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.sources.lineage import cut
+from pricetide.sources.lineage import cut, release
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
-        before = mark
+        before, spent = mark, now
         now = cut(_star(_star(now, True), False))
+        release(spent)
     return now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component")).groupBy("node").agg(
         F.min("component").alias("component"))

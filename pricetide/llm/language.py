@@ -130,7 +130,7 @@ def train(docs: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], np.nd
     known = docs.filter(~held_out() & F.col("lang").isNotNull())
     frequency, total = document_frequencies(known)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    drawn = sample(known, "lang", per_class, "language")
+    drawn = sample(known.select("doc_id", "lang", "text"), "lang", per_class, "language", ("doc_id", "text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.slices(batches, "text"):

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pricetide.llm import arrays
 from pricetide.llm.components import components
 from pricetide.llm.texts import packed, unpacked
-from pricetide.sources.lineage import cut
+from pricetide.sources.lineage import cut, scratch, settled
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -247,8 +247,8 @@ def links(docs: DataFrame, classes: DataFrame, least: int = LEAST) -> DataFrame:
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(buckets.join(shared, "bucket"))
     company = members.groupBy("rep").agg(F.sum("n").alias("company"))
-    pivots = members.join(company, "rep").groupBy("bucket").agg(
-        F.min("rep").alias("p0"), F.max(F.struct("company", (-F.col("rep")).alias("rep")))["rep"].alias("p1"))
+    pivots = cut(members.join(company, "rep").groupBy("bucket").agg(
+        F.min("rep").alias("p0"), F.max(F.struct("company", (-F.col("rep")).alias("rep")))["rep"].alias("p1")))
     texts = cut(packed(docs).join(company.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     star = cut(members.join(pivots, "bucket").select("rep", F.explode(F.array("p0", -F.col("p1"))).alias("pivot")).filter("rep != pivot").select(
         *ordered("rep", "pivot")).distinct())
@@ -273,7 +273,8 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, bands: int = BANDS, row
     signed = cut(signatures(docs, bands, rows))
     classes = cut(signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*SET).agg(
         F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "sketch", "whole")]))
-    groups = components(links(docs, classes, least), "a", "b")
+    with scratch():
+        groups = settled(components(links(docs, classes, least), "a", "b"))
     of_class = classes.select(*SET, "rep").join(groups, F.col("rep") == F.col("node"), "left").select(*SET, F.coalesce("component", "rep").alias("group"))
     return signed.select("doc_id", *SET).join(of_class, SET, "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id")).alias("component_id"),

@@ -1,14 +1,16 @@
 """Secret scan with multipart credential linking, in DataFrame expressions only.
 
 Strong patterns are reported wherever they match. Weak parts (account identifiers, random-looking words, endpoints) are
-reported only where complementary parts lie in one scope, a run of ``scope`` code points: an identifier needs a secret,
-a random word needs an identifier, an endpoint needs both. The interval join is a range window over the sparse spans of
-a document, so it costs a sort of the spans and never forms pairs.
+reported only where complementary parts lie in one scope, with no more than ``scope`` code points between two spans: an
+identifier needs a secret, a random word needs an identifier, an endpoint needs both. The interval join is a pair of windows over
+the sparse spans of a document, the furthest end before and the nearest start behind, so it costs a sort of the spans and never
+forms pairs.
 
 A span's place comes from the lengths of the text pieces between matches, summed in order.
 
 Defined results: null text is empty; no match gives zero counts, an empty list and the digest of the empty text;
-repeated rows and rows with a null id get a result each; other columns of the input are not read.
+repeated rows and rows with a null id get a result each; spans that start together are listed in the order of the kinds; texts
+of any length are read whole; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ SCOPE = 200
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 IDENT = r"""(?i:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)"""
 ENDPOINT = r"""((?:[a-z]{2,12}://[^\s"'<>]+)|(?:(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])))"""
-RANDOM = r"""((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])(?=[0-9+/_=-]{0,40}[A-Za-z])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-]))"""
+RANDOM = r"""((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-]))"""
 
 #: kind, order of ties, pattern with its value as the first group, least code points of the match and of the value, part
 KINDS = [
@@ -74,11 +76,13 @@ def find_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     strong = F.col("rank") < STRONG
     order = W.partitionBy(*KEY).orderBy("start")
     before, after = order.rangeBetween(W.unboundedPreceding, 0), order.rangeBetween(0, W.unboundedFollowing)
-    near = order.rangeBetween(-scope, scope)
     covered = (F.coalesce(F.max(F.when(strong, F.col("end"))).over(before), F.lit(-1)) > F.col("start")) | (
         F.coalesce(F.min(F.when(strong, F.col("start"))).over(after) < F.col("end"), F.lit(False)))
     own = placed.withColumn("covered", ~strong & covered)
-    seen = lambda p: F.max((F.col("part") == p) & ~F.col("covered")).over(near)
+    part_is = lambda p, value: F.when((F.col("part") == p) & ~F.col("covered"), F.col(value))
+    # an earlier span of the part ends, or a later one starts, within the scope
+    seen = lambda p: F.coalesce(F.max(part_is(p, "end")).over(before) >= F.col("start") - scope, F.lit(False)) | F.coalesce(
+        F.min(part_is(p, "start")).over(after) <= F.col("end") + scope, F.lit(False))
     linked = own.withColumn("has_id", seen("id")).withColumn("has_secret", seen("secret"))
     complete = F.when(F.col("part") == "id", F.col("has_secret")).when(F.col("part") == "secret", F.col("has_id")).otherwise(
         F.col("has_id") & F.col("has_secret"))

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricetide.llm import arrays
@@ -86,7 +87,10 @@ def labelled_features(docs: DataFrame, labels: DataFrame, per_class: int) -> Dat
                 pa.array([None if t is None else f.astype(np.int32) for t, f in zip(twins, features(twins))], listed),
             ], ["doc_id", "toxic", "own", "twin"])
 
-    joined = docs.join(chosen, "doc_id").select("doc_id", "text", "toxic")
+    # one text of those that share an id, so that there are no more rows than were chosen
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("__text"))
+    joined = docs.join(chosen, "doc_id").select("doc_id", "text", "toxic", F.xxhash64("text").alias("__text")).withColumn(
+        "__nth", nth).filter("__nth = 1").select("doc_id", "text", "toxic")
     return cut(joined.mapInArrow(run, "doc_id bigint, toxic int, own array<int>, twin array<int>"))
 
 
