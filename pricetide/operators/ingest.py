@@ -1,7 +1,8 @@
 """Set-based merge of a batch of listing snapshots into the catalog.
 
-One product is created per new (category, fingerprint); fuzzy ranking compares with the catalog as it was when
-the batch began. The last snapshot of a URL sets its state; every snapshot counts for the price history.
+Decisions equal those of an item-by-item reading of the URLs' last snapshots in the order (seq, url): a listing is compared with
+the catalog as it was when the batch began and with the products that earlier listings of the batch created, by the texts
+they were created with. The last snapshot of a URL sets its state; every snapshot counts for the price history.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pricetide.functions import text as X
 from pricetide.operators import changes
 from pricetide.operators import match as M
 from pricetide.operators import stats as S
+from pricetide.operators.election import elect
+from pricetide.operators.ordering import numbered
 from pricetide.schemas import Catalog
 from pricetide.sources.lineage import cut
 
@@ -148,50 +151,92 @@ def plan_matches(cat: Catalog, latest: DataFrame) -> DataFrame:
                          "loose_normalized_model", "category_id", "category_name"),
         near, cat.offers, k=1, min_score=V.REVIEW_SCORE,
     ).select("listing_id", F.col("product_id").alias("best_id"), "score")
-    score_text = c("score").cast("string")
-    confidence = F.round(c("score") / 100.0, 3)
-    by_rank = (
-        F.when(
-            c("score") >= V.AUTO_MATCH_SCORE,
-            _plan("auto_matched", confidence, "candidate_rank", F.concat(F.lit(V.RATIONALE_AUTO), score_text), c("best_id")),
-        )
-        .when(
-            c("score") >= V.REVIEW_SCORE,
-            _plan("needs_review", confidence, "candidate_rank", F.concat(F.lit(V.RATIONALE_QUEUED), score_text),
-                  F.lit(None).cast("string")),
-        )
-        .otherwise(_plan("auto_matched", 1.0, "fingerprint", V.RATIONALE_NEW, F.lit(None).cast("string")))
-    )
-    planned = settled.join(ranked, "listing_id", "left").withColumn("plan", F.coalesce("plan", by_rank))
-    return _share_new_products(planned)
+    return _plan_batch(cut(settled.join(ranked, "listing_id", "left")))
 
 
-def _share_new_products(planned: DataFrame) -> DataFrame:
-    """The first URL of a new fingerprint creates its product; later ones match it exactly."""
-    c = F.col
-    order = F.struct("seq", "url")
-    creators = (
-        planned.filter(c("plan.product_id").isNull())
-        .groupBy("category_id", "fingerprint")
-        .agg(F.min(order).alias("creator"))
-    )
-    made = new_product_id(c("category_id"), c("fingerprint"))
-    after = c("creator").isNotNull() & (order > c("creator"))
-    automatic = ~F.coalesce(c("was_decision").isin(*MANUAL, "needs_review"), F.lit(False))
-    exact = _plan("auto_matched", 1.0, "fingerprint", V.RATIONALE_EXACT, made)
+def _by_rank(score: Column, product: Column) -> Column:
+    """The plan that follows from the best score."""
+    text, confidence = score.cast("string"), F.round(score / 100.0, 3)
+    nothing = F.lit(None).cast("string")
     return (
-        planned.join(creators, ["category_id", "fingerprint"], "left")
-        .withColumn("creates", F.coalesce(order == c("creator"), F.lit(False)))
-        .withColumn("plan", F.when(after & automatic, exact).otherwise(c("plan")))
-        .withColumn("product_id", F.coalesce(c("plan.product_id"), made))
-        .withColumn(
-            "conflict",
-            F.coalesce((c("plan.decision") == "manual_matched") & (c("chosen_category_id") != c("category_id")), F.lit(False)),
-        )
-        .drop("creator")
+        F.when(score >= V.AUTO_MATCH_SCORE, _plan("auto_matched", confidence, "candidate_rank", F.concat(F.lit(V.RATIONALE_AUTO), text), product))
+        .when(score >= V.REVIEW_SCORE, _plan("needs_review", confidence, "candidate_rank", F.concat(F.lit(V.RATIONALE_QUEUED), text), nothing))
+        .otherwise(_plan("auto_matched", 1.0, "fingerprint", V.RATIONALE_NEW, nothing))
     )
 
 
+TEXTS = ("name", "brand", "model", "normalized_model", "loose_normalized_model", "attributes", "category_name")
+
+
+def _as_listings(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("node").alias("listing_id"), F.col("name").alias("title"), *[t for t in TEXTS if t not in ("name", "attributes")], "category_id", "place")
+
+
+def _as_products(nodes: DataFrame) -> DataFrame:
+    """The products that the texts would create."""
+    model_key = X.first_text(F.col("loose_normalized_model"), F.col("normalized_model"), F.col("model"))
+    return nodes.select(F.col("node").alias("id"), F.col("name").alias("canonical_name"), "category_id", "brand", model_key.alias("model_key"),
+                        "attributes", "fingerprint", F.lit(True).alias("is_active"), "place")
+
+
+def _batch_matches(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Who creates a product, which creators each text is close enough to match, and the best score of each creator among earlier ones.
+
+    Equal texts are one node, the first of them: a later one either finds its product or matches what the first one matches.
+    """
+    c = F.col
+    no_offers = nodes.sparkSession.createDataFrame([], "product_id string")
+    place = nodes.select(c("node").alias("product_id"), c("place").alias("product_place"))
+    links = nodes.sparkSession.createDataFrame([], "node string, earlier string, score double")
+    scores = nodes.sparkSession.createDataFrame([], "node string, batch_score double")
+    if nodes.limit(2).count() > 1:
+        able = nodes.filter("forced or not matched")
+        links = cut(M.rank(_as_listings(nodes.filter("not forced")).drop("place"), _as_products(able), no_offers, k=None, min_score=V.AUTO_MATCH_SCORE).join(
+            place, "product_id").select(c("listing_id").alias("node"), c("product_id").alias("earlier"), "score", "product_place"))
+        before = links.join(nodes.select("node", "place"), "node").filter("product_place < place")
+        creators = elect(able.select("node", "place", "identity", "forced"), before).filter("creates").select("node")
+        nodes = cut(nodes.join(creators.withColumn("creates", F.lit(True)), "node", "left").fillna({"creates": False}))
+        leaders = nodes.filter("creates")
+        if leaders.limit(2).count() > 1:
+            scores = M.rank(_as_listings(leaders.filter("not forced")), _as_products(leaders), no_offers, k=1, min_score=V.REVIEW_SCORE).select(
+                c("listing_id").alias("node"), c("score").alias("batch_score"))
+        links = links.join(leaders.select(c("node").alias("earlier")), "earlier", "left_semi")
+    else:
+        nodes = nodes.withColumn("creates", c("forced") | ~c("matched"))
+        links = links.withColumn("product_place", F.lit(None).cast("long"))
+    return nodes, links, scores
+
+
+def _plan_batch(planned: DataFrame) -> DataFrame:
+    """Plans of the listings that no product of the catalog settles, each as if the earlier ones of the batch were stored."""
+    c = F.col
+    contends = c("plan.product_id").isNull()
+    settled = planned.filter(~contends).withColumn("product_id", c("plan.product_id")).withColumn("creates", F.lit(False))
+    rows = numbered(planned.filter(contends).withColumns({
+        "forced": c("plan").isNotNull(), "matched": F.coalesce(c("score") >= V.AUTO_MATCH_SCORE, F.lit(False)),
+        "identity": new_product_id(c("category_id"), c("fingerprint")),
+    }).withColumn("node", F.sha1(F.to_json(F.struct("identity", "name", "forced")))), [c("seq").asc(), c("url").asc()], "place")
+    first = rows.groupBy("node").agg(F.min("place").alias("place"), F.min_by(F.struct(*TEXTS, "category_id", "fingerprint", "identity", "forced", "matched"), "place").alias("n"))
+    nodes, links, scores = _batch_matches(cut(first.select("node", "place", "n.*")))
+    nodes = cut(nodes)
+    creators = nodes.filter("creates").select("identity", c("place").alias("creator"))
+    made = nodes.select(c("node").alias("earlier"), c("identity").alias("made_id"), F.lower("name").alias("made_name"))
+    # the best product of the batch that a listing can be matched with: the highest score, then as products of the catalog tie
+    matched = rows.select("node", "place").join(links.join(made, "earlier"), "node").filter("product_place < place").groupBy("place").agg(
+        F.max(F.struct("score", "made_name", -c("product_place"), "made_id")).alias("best"))
+    joined = rows.join(creators, "identity", "left").join(matched, "place", "left").join(scores, "node", "left")
+    later = F.coalesce(c("creator") < c("place"), F.lit(False))
+    in_batch = F.coalesce(c("best.score"), c("batch_score"))
+    better = in_batch.isNotNull() & (c("score").isNull() | (in_batch > c("score")))
+    exact = _plan("auto_matched", 1.0, "fingerprint", V.RATIONALE_EXACT, c("identity"))
+    ranked = _by_rank(F.when(better, in_batch).otherwise(c("score")), F.when(better, c("best.made_id")).otherwise(c("best_id").cast("string")))
+    decided = joined.withColumn("creates", F.coalesce(c("creator") == c("place"), F.lit(False))).withColumn(
+        "plan", F.when(c("forced"), c("plan")).when(later, exact).otherwise(ranked))
+    decided = decided.withColumn("product_id", F.coalesce(c("plan.product_id"), c("identity")))
+    conflict = F.coalesce((c("plan.decision") == "manual_matched") & (c("chosen_category_id") != c("category_id")), F.lit(False))
+    return settled.unionByName(decided.select(*settled.columns)).withColumn("conflict", conflict)
+
+
 def merge_listings(listings: DataFrame, rows: DataFrame, as_of: datetime) -> DataFrame:
     now = P.timestamp(as_of)
     fresh = rows.select(
