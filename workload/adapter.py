@@ -220,6 +220,11 @@ class LazyCatalog:
         self.__dict__[name] = table
         return table
 
+    def with_tables(self, **tables: DataFrame) -> "LazyCatalog":
+        changed = LazyCatalog(*self._args)
+        changed.__dict__.update({**self.__dict__, **tables})
+        return changed
+
 
 def catalog(spark: SparkSession, sf_dir: str) -> LazyCatalog:
     return LazyCatalog(spark, sf_dir)

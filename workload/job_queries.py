@@ -190,6 +190,62 @@ def _(spark, d):
     return review.bulk_outcomes(c, c.decisions.select("id"))
 
 
+# Manual resolution of every order's decision, some of it refused, and some resolved again later.
+
+LATER = 1_000_000_000
+RESOLVE_CTES = {
+    "asked": f"""SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS decision_id,
+        CASE WHEN o_orderkey % 7 = 0 THEN 'auto_matched' WHEN o_orderkey % 2 = 0 THEN 'manual_matched' ELSE 'manual_rejected' END AS decision,
+        CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN -1 ELSE o_custkey % 200 + 1 END AS product_id,
+        CASE WHEN o_orderkey % 3 <> 0 THEN 'by ' || o_custkey END AS rationale, o_orderkey AS seq FROM orders
+      UNION ALL SELECT o_orderkey, 'manual_rejected', NULL, NULL, o_orderkey + {LATER} FROM orders WHERE o_orderkey % 4 = 1""",
+    "checked": """SELECT a.*, d.listing_id, p.category_id AS product_category, CASE WHEN a.decision NOT IN ('manual_matched', 'manual_rejected') THEN 'unsupported_decision'
+        WHEN d.listing_id IS NULL THEN 'decision_not_found' WHEN a.decision = 'manual_matched' AND a.product_id IS NULL THEN 'product_required'
+        WHEN a.decision = 'manual_matched' AND p.category_id IS NULL THEN 'product_not_found'
+        WHEN a.decision = 'manual_matched' AND l.category_id <> p.category_id THEN 'category_mismatch' END AS problem
+      FROM asked a LEFT JOIN decisions d ON d.id = a.decision_id LEFT JOIN listings l ON l.id = d.listing_id LEFT JOIN products p ON p.id = a.product_id""",
+    "settled": """SELECT decision_id, arg_max({'d': decision, 'p': product_id}, seq) AS r, arg_max(rationale, seq) FILTER (rationale IS NOT NULL) AS why
+      FROM checked WHERE problem IS NULL GROUP BY 1""",
+    "held": """SELECT listing_id, arg_max(decision = 'manual_matched', seq) AS keep,
+        arg_max({'p': product_id, 'c': product_category}, seq) FILTER (decision = 'manual_matched') AS moved
+      FROM checked WHERE problem IS NULL GROUP BY 1""",
+}
+
+
+def _resolved(spark, d):
+    cat = catalog(spark, d)
+    orders, key, customer = read(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    asked = orders.select(
+        F.when(key % 11 == 0, -key).otherwise(key).alias("decision_id"),
+        F.when(key % 7 == 0, "auto_matched").when(key % 2 == 0, "manual_matched").otherwise("manual_rejected").alias("decision"),
+        F.when(key % 5 == 0, None).when(key % 13 == 0, -1).otherwise(customer % 200 + 1).cast("long").alias("product_id"),
+        F.when(key % 3 != 0, F.concat(F.lit("by "), customer.cast("string"))).alias("rationale"), key.alias("seq"))
+    again = orders.filter(key % 4 == 1).select(
+        key.alias("decision_id"), F.lit("manual_rejected").alias("decision"), F.lit(None).cast("long").alias("product_id"),
+        F.lit(None).cast("string").alias("rationale"), (key + LATER).alias("seq"))
+    return review.resolve(cat.with_tables(decisions=cat.decisions.withColumn("rationale", F.lit("open"))), asked.unionByName(again))
+
+
+@query("resolved_decisions", with_ctes("""
+SELECT d.id, coalesce(r.d, decision) AS decision, CASE WHEN r IS NULL THEN product_id WHEN r.d = 'manual_matched' THEN r.p END AS product_id,
+  CASE WHEN r IS NULL THEN matcher ELSE 'manual_review' END AS matcher, CASE WHEN r IS NULL THEN confidence ELSE 1.0::DOUBLE END AS confidence,
+  coalesce(why, 'open') AS rationale FROM decisions d LEFT JOIN settled ON decision_id = d.id""", **RESOLVE_CTES))
+def _(spark, d):
+    return _resolved(spark, d)[0].decisions.select("id", "decision", "product_id", "matcher", "confidence", "rationale")
+
+
+@query("resolved_offers", with_ctes("""
+SELECT o.id, coalesce(moved.p, product_id) AS product_id, CASE WHEN moved IS NULL THEN category_id ELSE moved.c END AS category_id,
+  CASE WHEN keep IS NULL THEN is_active ELSE keep AND status = 'available' END AS is_active FROM offers o LEFT JOIN held ON held.listing_id = o.listing_id""", **RESOLVE_CTES))
+def _(spark, d):
+    return _resolved(spark, d)[0].offers.select("id", "product_id", "category_id", "is_active")
+
+
+@query("refused_resolutions", with_ctes("SELECT decision_id, seq, problem FROM checked WHERE problem IS NOT NULL", **RESOLVE_CTES))
+def _(spark, d):
+    return _resolved(spark, d)[1].select("decision_id", "seq", "problem")
+
+
 # Merge of all snapshots, in two batches split by date.
 
 
