@@ -403,13 +403,21 @@ def _(spark, d):
     return extract.links(_pages(spark, d).withColumn("site", F.lit("any")), [spec])
 
 
-@query("page_previews")
+#: visible text of marked-up text: without comments, scripts and styles, each tag a blank, entities read
+VISIBLE = r"regexp_replace(regexp_replace({html}, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<!doctype[^>]*>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+for _entity, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    VISIBLE = f"replace({VISIBLE}, '{_entity}', '{_sign}')"
+
+
+@query("page_previews", rf"""
+SELECT url AS page_url, 'any' AS site, CAST(1 AS INTEGER) AS position, trim(regexp_replace({VISIBLE.format(html="regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, '\s+', ' ', 'g')) AS name,
+  CAST(NULL AS VARCHAR) AS href FROM pages WHERE regexp_matches(html, '(?i)<article')""")
 def _(spark, d):
     spec = PreviewSpec("any", "article", "h1", "nav li a")
     return extract.previews(_pages(spark, d).withColumn("site", F.lit("any")), [spec])
 
 
-@query("page_snippets")
+@query("page_snippets", f"SELECT url, left(trim(regexp_replace({VISIBLE.format(html='html')}, '\\s+', ' ', 'g')), {extract.SNIPPET_LIMIT}) AS snippet FROM pages")
 def _(spark, d):
     return extract.page_texts(_pages(spark, d)).select("url", extract.snippet(F.col("body_text")).alias("snippet"))
 
