@@ -111,6 +111,23 @@ def test_sample_takes_small_classes_whole(spark):
     assert got[1] == 40 and 50 < got[0] < 170
 
 
+def test_sample_is_bounded_whatever_the_ids_and_labels(spark):
+    """A third of the rows under one id that is drawn, and thousands of labels."""
+    rows = spark.range(9000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "'en' as lang", "concat('t', id % 5) as text")
+    hot = [labelled.sample(rows.withColumn("doc_id", labelled.F.when(labelled.F.col("doc_id") == 7, n).otherwise(labelled.F.col("doc_id"))), "lang", 100, "x").count()
+           for n in (12_000, 12_001, 12_002, 12_003)]
+    assert max(hot) <= 200 and min(hot) > 30
+    many = spark.range(5000).selectExpr("id as doc_id", "concat('l', id % 2500) as lang", "'t' as text").union(rows)
+    drawn = labelled.sample(many, "lang", 100, "x", ("doc_id", "text"))
+    assert drawn.select("lang").distinct().count() == labelled.LABELS and drawn.filter("lang = 'en'").count() <= 200
+
+
+def test_toxicity_takes_one_text_of_an_id(spark):
+    rows, labels = toxic_rows()
+    repeated = documents(spark, rows + [(rows[0][0], f"{t} again") for _, t in rows]).select("doc_id", "text")
+    assert toxicity.labelled_features(repeated, label_table(spark, labels), 50).groupBy("doc_id").count().filter("count > 1").count() == 0
+
+
 PII = ("Bob.Lee42@Mail6.example.com bob.lee42@mail6.example.com eve@acme.co.uk +1 (456) 555-2186, 456-555-2186 4337166598464399 "
        "42.144.35.254 192.168.7.9 123-45-6789 Mrs Maria Schmidt and James Müller. Maria and Schmidt. Анна Петрова. version 2.0 on 2024-05-17, 1234567890123456")
 
@@ -299,7 +316,7 @@ def test_pipeline(spark, tmp_path):
     groups = minhash.near_duplicates(documents(spark, left)).filter("kept").collect()
     assert set(ids["near_duplicates"]) - {None} == {r["doc_id"] for r in groups} and 700 in ids["near_duplicates"] and 701 not in ids["near_duplicates"]
     assert set(ids["near_duplicates"]) - set(ids["decontamination"]) == {710}
-    assert ids["pii"] == ids["decontamination"] and ids["pii"][907] == 2 and ids["pii"][None] == 1
+    assert ids["pii"] == ids["decontamination"] and ids["pii"][907] == 1 and ids["pii"][None] == 1
     assert seen["pii"].filter("doc_id = 711").first()["text"] == pii.replace(PII, pii.DEFAULT_KEY)[0]
     kept = [(r["doc_id"], r["text"]) for r in seen["pii"].collect()]
     assert sorted((tuple(r)[:5] for r in seen["packing"].collect()), key=str) == sorted(pieces_of(kept), key=str)
@@ -322,6 +339,7 @@ def test_pipeline_decides_on_rows(spark, tmp_path):
     want = collections.Counter(rows)
     for gone in ((None, base), (None, base + " end"), (60, base + " tail")):
         del want[gone]
+    want[(80, "equal row of one id " * 3)] = 1
     lone = [r for r in ((None, other), (None, "start " + other)) if left[r]]
     assert len(lone) == 1 and left[lone[0]] == 1  # one of the group of rows without id
     for r in ((None, other), (None, "start " + other)):

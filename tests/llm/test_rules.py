@@ -120,6 +120,19 @@ def test_quality_without_trusted_documents(spark):
     assert not got[1][0]["kept"] and got[1][0]["score"] == 0
 
 
+def test_parts_are_linked_by_the_gap_between_them(spark):
+    """A long part does not push its complement out, and a value is random wherever its digit stands."""
+    late = "x" * 60 + "7" + "y" * 9
+    key = lambda gap: "user=bob7" + " ," * (gap // 2) + " " * (gap % 2) + late
+    long_id = "user=" + "bob." * 150
+    rows = [(1, key(200)), (2, key(201)), (3, long_id + " " * 190 + late), (4, long_id + " " * 210 + late), (5, late + " " * 150 + long_id), (6, late), (7, "user=bob7")]
+    got = {d: r[0]["spans"] for d, r in by_id(secrets.scan(documents(spark, rows))).items()}
+    spans = lambda text, *parts: ",".join(f"{k}:{text.index(p)}:{text.index(p) + len(p)}" for k, p in parts)
+    texts = dict(rows)
+    assert got[1] == spans(texts[1], ("ident", "user=bob7"), ("random", late)) and got[2] == got[4] == got[6] == got[7] == ""
+    assert got[3] == spans(texts[3], ("ident", long_id), ("random", late)) and got[5] == spans(texts[5], ("random", late), ("ident", long_id))
+
+
 @pytest.mark.parametrize("operator", [secrets.scan, licenses.scan, quality.score])
 def test_no_python_on_the_path(spark, operator):
     plan = operator(documents(spark, [(1, "some words")]))._jdf.queryExecution().toString()
