@@ -123,8 +123,11 @@ def _plan(decision, confidence, matcher, rationale, product) -> Column:
     )
 
 
-def plan_matches(cat: Catalog, latest: DataFrame) -> DataFrame:
-    """Decide product and decision per URL: kept manual decisions, exact identity, ranked candidate, new product."""
+def plan_matches(cat: Catalog, latest: DataFrame, compare_new: bool = True) -> DataFrame:
+    """Decide product and decision per URL: kept manual decisions, exact identity, ranked candidate, new product.
+
+    Without ``compare_new`` the new products of a batch are compared with the catalog only, not with each other.
+    """
     known = cut(_known(cat, latest))
     c = F.col
     was = c("was_decision")
@@ -151,7 +154,7 @@ def plan_matches(cat: Catalog, latest: DataFrame) -> DataFrame:
                          "loose_normalized_model", "category_id", "category_name"),
         near, cat.offers, k=1, min_score=V.REVIEW_SCORE,
     ).select("listing_id", F.col("product_id").alias("best_id"), "score")
-    return _plan_batch(cut(settled.join(ranked, "listing_id", "left")))
+    return _plan_batch(cut(settled.join(ranked, "listing_id", "left")), compare_new)
 
 
 def _by_rank(score: Column, product: Column) -> Column:
@@ -179,7 +182,7 @@ def _as_products(nodes: DataFrame) -> DataFrame:
                         "attributes", "fingerprint", F.lit(True).alias("is_active"), "place")
 
 
-def _batch_matches(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _batch_matches(nodes: DataFrame, compare_new: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Who creates a product, which creators each text is close enough to match, and the best score of each creator among earlier ones.
 
     Equal texts are one node, the first of them: a later one either finds its product or matches what the first one matches.
@@ -189,7 +192,11 @@ def _batch_matches(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     place = nodes.select(c("node").alias("product_id"), c("place").alias("product_place"))
     links = nodes.sparkSession.createDataFrame([], "node string, earlier string, score double")
     scores = nodes.sparkSession.createDataFrame([], "node string, batch_score double")
-    if nodes.limit(2).count() > 1:
+    if not compare_new:  # the first text of an identity creates its product
+        first = nodes.filter("forced or not matched").groupBy("identity").agg(F.min("place").alias("_first"))
+        nodes = nodes.join(first, "identity", "left").withColumn("creates", F.coalesce(c("place") == c("_first"), F.lit(False))).drop("_first")
+        links = links.withColumn("product_place", F.lit(None).cast("long"))
+    elif nodes.limit(2).count() > 1:
         able = nodes.filter("forced or not matched")
         links = cut(M.rank(_as_listings(nodes.filter("not forced")).drop("place"), _as_products(able), no_offers, k=None, min_score=V.AUTO_MATCH_SCORE).join(
             place, "product_id").select(c("listing_id").alias("node"), c("product_id").alias("earlier"), "score", "product_place"))
@@ -207,7 +214,7 @@ def _batch_matches(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, links, scores
 
 
-def _plan_batch(planned: DataFrame) -> DataFrame:
+def _plan_batch(planned: DataFrame, compare_new: bool) -> DataFrame:
     """Plans of the listings that no product of the catalog settles, each as if the earlier ones of the batch were stored."""
     c = F.col
     contends = c("plan.product_id").isNull()
@@ -217,7 +224,7 @@ def _plan_batch(planned: DataFrame) -> DataFrame:
         "identity": new_product_id(c("category_id"), c("fingerprint")),
     }).withColumn("node", F.sha1(F.to_json(F.struct("identity", "name", "forced")))), [c("seq").asc(), c("url").asc()], "place")
     first = rows.groupBy("node").agg(F.min("place").alias("place"), F.min_by(F.struct(*TEXTS, "category_id", "fingerprint", "identity", "forced", "matched"), "place").alias("n"))
-    nodes, links, scores = _batch_matches(cut(first.select("node", "place", "n.*")))
+    nodes, links, scores = _batch_matches(cut(first.select("node", "place", "n.*")), compare_new)
     nodes = cut(nodes)
     creators = nodes.filter("creates").select("identity", c("place").alias("creator"))
     made = nodes.select(c("node").alias("earlier"), c("identity").alias("made_id"), F.lower("name").alias("made_name"))
@@ -360,14 +367,16 @@ def merge_decisions(decisions: DataFrame, rows: DataFrame, as_of: datetime) -> D
     return refreshed.select(*decisions.columns).unionByName(added.select(*decisions.columns))
 
 
-def ingest_batch(cat: Catalog, snapshots: DataFrame, *, as_of: datetime, slices: int | None = None) -> IngestResult:
+def ingest_batch(
+    cat: Catalog, snapshots: DataFrame, *, as_of: datetime, slices: int | None = None, compare_new: bool = True
+) -> IngestResult:
     """Merge one batch of snapshots and return the next catalog."""
     c = F.col
     valid, rejected = validate(snapshots)
     fields = [f for f in valid.columns if f != "url"]
     latest = valid.groupBy("url").agg(F.max_by(F.struct(*fields), "seq").alias("s")).select("url", "s.*")
     # Joins on the fingerprint would push filters below the text expressions; computing them once here avoids that.
-    planned = cut(plan_matches(cat, cut(identify(latest))))
+    planned = cut(plan_matches(cat, cut(identify(latest)), compare_new))
     conflicts = planned.filter("conflict").select("url", "listing_id", "product_id", "category_id", "chosen_category_id")
     rows = planned.filter(~c("conflict"))
 

@@ -269,9 +269,9 @@ def _batches(spark, d):
 
 def _merged(spark, d):
     first, second = _batches(spark, d)
-    one = ingest.ingest_batch(empty_catalog(spark), first, as_of=datetime(1998, 7, 1))
+    one = ingest.ingest_batch(empty_catalog(spark), first, as_of=datetime(1998, 7, 1), compare_new=False)
     done = one.catalog.with_tables(**{n: cut(t) for n, t in one.catalog.items() if n in ("products", "listings", "offers", "observations", "decisions")})
-    return ingest.ingest_batch(done, second, as_of=LINE_AS_OF)
+    return ingest.ingest_batch(done, second, as_of=LINE_AS_OF, compare_new=False)
 
 
 @query("ingest_offers", with_ctes("""
@@ -512,7 +512,7 @@ def _crawled(spark, d):
     sites = spark.createDataFrame(list(zip(SITES, range(1, 9))), "site string, retailer_id long")
     tasks = empty.categories.select(F.explode(F.array(*[F.lit(BASES[s]) for s in SITES])).alias("base"), "id", "name").select(
         F.concat("base", F.lit("/list/"), F.col("id").cast("string")).alias("task_url"), F.col("name").alias("category"))
-    return crawl.crawl_batch(empty, _crawl_pages(spark, d), sites, tasks, completed=sites.select("retailer_id"), run_id="crawl", as_of=LINE_AS_OF)
+    return crawl.crawl_batch(empty, _crawl_pages(spark, d), sites, tasks, completed=sites.select("retailer_id"), run_id="crawl", as_of=LINE_AS_OF, compare_new=False)
 
 
 @query("crawl_offers", with_ctes(f"""
