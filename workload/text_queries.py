@@ -15,7 +15,7 @@ from pricetide.functions import fingerprint as FP
 from pricetide.functions import predicates as P
 from pricetide.functions import similarity as SIM
 from pricetide.functions import text as X
-from pricetide.sources.lineage import cut
+from pricetide.sources.lineage import stored
 from workload import adapter
 from workload.adapter import RUN_AS_OF, catalog, lines, titles
 from workload.adapter_sql import with_ctes
@@ -337,7 +337,7 @@ SELECT offer_id, CASE WHEN brand IS NULL OR p_brand_name IS NULL THEN {BRAND_UNK
   fingerprint = p_fp AS fingerprint_match
 FROM (SELECT *, {_shared} AS shared, {_same} AS same FROM printed JOIN owned ON pk = l_partkey + 1)""", **PARTS_CTES))
 def _(spark, d):
-    rows = cut(printed(spark, d))
+    rows = stored(printed(spark, d).select("offer_id", "l_partkey", "brand", "fingerprint", "attributes"))
     first = rows.groupBy("l_partkey").agg(F.min("offer_id").alias("offer_id"))
     own = rows.join(first, ["l_partkey", "offer_id"]).select(
         F.col("l_partkey").alias("pk"), *[F.col(c).alias(f"p_{c}") for c in ("brand", "fingerprint", "attributes")]
