@@ -24,12 +24,15 @@ def quoted(value: Column) -> Column:
 
 def attribute_pairs(category_name: Column, attrs: Column) -> Column:
     """``array<struct<key, value>>`` of the category's fingerprint attributes that are present, in order."""
-    low = F.lower(category_name)
-    out = None
-    for name, keys in FINGERPRINT_KEYS.items():
-        pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.try_element_at(attrs, F.lit(k)).alias("value")) for k in keys])
-        out = F.when(low == name, pairs) if out is None else out.when(low == name, pairs)
-    return F.filter(F.coalesce(out, F.array().cast("array<struct<key:string,value:string>>")), lambda p: p["value"].isNotNull())
+
+    def listed(low: Column) -> Column:
+        out = None
+        for name, keys in FINGERPRINT_KEYS.items():
+            pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.try_element_at(attrs, F.lit(k)).alias("value")) for k in keys])
+            out = F.when(low == name, pairs) if out is None else out.when(low == name, pairs)
+        return F.coalesce(out, F.array().cast("array<struct<key:string,value:string>>"))
+
+    return F.filter(X.let(F.lower(category_name), listed), lambda p: p["value"].isNotNull())
 
 
 def _pair_text(pair: Column) -> Column:

@@ -1,7 +1,8 @@
 """Product text normalization as native column expressions.
 
 Patterns carry ``(?U)`` so that blanks, digits and word boundaries follow Unicode. Each is a literal of its own, compiled
-once, and is guarded by a plain substring test, which rejects most words without a regex.
+once, and is guarded by a plain substring test, which rejects most words without a regex. A Unicode word boundary costs more than
+the letters beside it, so patterns look for the letters first and test the boundary in front of them by looking back.
 """
 
 from __future__ import annotations
@@ -26,9 +27,19 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _as_word(text: str, flags: str) -> Column:
-    """Pattern for ``text`` standing as a word."""
-    return F.lit(f"(?{flags})\\b\\Q{text}\\E\\b")
+def _as_word(text: str, flags: str, then: str = "") -> Column:
+    """Pattern for ``text`` standing as a word, and ``then`` behind it: ``\\btext\\b`` with the first boundary tested last."""
+    return F.lit(f"(?{flags})\\Q{text}\\E(?<=\\b\\Q{text}\\E)\\b{then}")
+
+
+def _choose(value: Column, cases: dict[str, Column]) -> Column:
+    """The column whose key equals ``value``, else null. Halving the sorted keys takes a few comparisons where a list takes as many as it has."""
+    keys = sorted(cases)
+    if len(keys) == 1:
+        return F.when(value == keys[0], cases[keys[0]])
+    half = len(keys) // 2
+    low, high = ({k: cases[k] for k in part} for part in (keys[:half], keys[half:]))
+    return F.when(value < keys[half], _choose(value, low)).otherwise(_choose(value, high))
 
 
 def strip(text: Column) -> Column:
@@ -36,7 +47,8 @@ def strip(text: Column) -> Column:
 
 
 def nonempty(text: Column) -> Column:
-    return F.when(text != "", text)
+    """Names the text once, so that the plan works it out once, and in a chain of choices only where it is reached."""
+    return let(text, lambda t: F.when(t != "", t))
 
 
 def brand(name: Column) -> Column:
@@ -53,14 +65,12 @@ def brand(name: Column) -> Column:
 def model(name: Column, found_brand: Column) -> Column:
     """The name without the first mention of its brand; the whole name when nothing is left or known.
 
-    The pattern is anchored at the start, so only the first mention can match.
+    The pattern takes all that follows the first mention with it, so only that one can match.
     """
 
     def without(x: Column) -> Column:
-        cuts = [
-            F.when(x["brand"] == b, F.regexp_replace(x["full"], F.lit(rf"(?isU)^(.*?)\b\Q{b}\E\b"), F.lit("$1"))) for b in BRANDS
-        ]
-        return F.coalesce(nonempty(strip(F.coalesce(*cuts))), x["full"])
+        cuts = {b: F.regexp_replace(x["full"], _as_word(b, "isU", "(.*)"), F.lit("$1")) for b in BRANDS}
+        return F.coalesce(nonempty(strip(_choose(x["brand"], cuts))), x["full"])
 
     return let(F.struct(name.alias("full"), found_brand.alias("brand")), without)
 
@@ -85,8 +95,8 @@ def _without_words(low: Column, words: list[str]) -> Column:
 
     def delete(text: Column, word: Column) -> Column:
         # one literal pattern per word, compiled once; the branch is only looked for when the word occurs
-        one_of = F.coalesce(*[F.when(word == w, F.regexp_replace(text, _as_word(w, "U"), F.lit(""))) for w in listed])
-        return F.when(text.contains(word), one_of).otherwise(text)
+        one_of = {w: F.regexp_replace(text, _as_word(w, "U"), F.lit("")) for w in listed}
+        return F.when(text.contains(word), _choose(word, one_of)).otherwise(text)
 
     return F.aggregate(known, low, delete)
 

@@ -82,3 +82,26 @@ def test_price_text(spark):
     shown = {"$1,299.00": 1299.0, "POA": None, " 12 ": 12.0, "12d": None, "1_000": None, "": None, "1e3": 1000.0, ".5": 0.5}
     df = spark.createDataFrame([(k,) for k in shown], "s string")
     assert {r.s: r.p for r in df.select("s", X.price_from_text(F.col("s")).alias("p")).collect()} == shown
+
+
+def test_words_and_mentions_as_plain_patterns_find_them(spark):
+    """The boundary tested behind the letters, and the first mention cut with all that follows, against the plain forms."""
+    words = ["OC", "(No Cooler)", "be quiet!", "Lian Li", "ASUS"]
+    texts = ["oc OC, foc oć éOC OCé OC", "x(No Cooler)y (No Cooler) a(no cooler)b", "be quiet!x be quiet! Be Quiet!y", "Lian  Li\nLIAN LI\nlian li", "aſus ASUS\tASUS_ asuſ", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string")
+    for w in words:
+        for flags in ("U", "iU"):
+            plain = F.lit(f"(?{flags})\\b\\Q{w}\\E\\b")
+            got = rows.select(F.regexp_replace("s", X._as_word(w, flags), F.lit("#")).alias("a"), F.regexp_replace("s", plain, F.lit("#")).alias("b"))
+            assert all(r.a == r.b for r in got.collect()), (w, flags)
+        first = F.regexp_replace("s", F.lit(rf"(?isU)^(.*?)\b\Q{w}\E\b"), F.lit("$1"))
+        got = rows.select(F.regexp_replace("s", X._as_word(w, "isU", "(.*)"), F.lit("$1")).alias("a"), first.alias("b"))
+        assert all(r.a == r.b for r in got.collect()), w
+
+
+def test_a_text_is_worked_out_once_and_only_where_reached(spark, capsys):
+    rows = spark.createDataFrame([("a",)], "s string")
+    rows.select(X.nonempty(F.regexp_replace("s", "b+", "")).alias("t")).explain()
+    assert capsys.readouterr().out.count("regexp_replace(") == 1
+    forms = rows.withColumns({"loose": F.upper("s"), "strict": F.raise_error(F.col("s")).cast("string")})
+    assert [r.t for r in forms.select(X.first_text(F.col("loose"), F.col("strict")).alias("t")).collect()] == ["A"]

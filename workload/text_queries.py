@@ -75,10 +75,12 @@ def modelled(spark, d):
     return branded(spark, d).withColumn("model", X.model(F.col("title"), F.col("brand")))
 
 
+def normalized(rows):
+    return rows.withColumns({"strict": X.normalize_strict(F.col("model")), "loose": X.normalize_loose(F.col("model"))})
+
+
 def normal(spark, d):
-    return modelled(spark, d).withColumns(
-        {"strict": X.normalize_strict(F.col("model")), "loose": X.normalize_loose(F.col("model"))}
-    )
+    return normalized(modelled(spark, d))
 
 
 @query("text_brand", with_ctes("SELECT offer_id, title, brand FROM branded", **TEXT_CTES))
@@ -211,7 +213,8 @@ ROUTED_SQL = "SELECT based.*, " + ", ".join(
 
 
 def attributed(spark, d):
-    return normal(spark, d).withColumn("attributes", A.attributes(F.col("title"), F.col("category_name")))
+    """Attributes, which a fingerprint reads many times, come before the normal forms, which it reads once and only where it needs them."""
+    return normalized(modelled(spark, d).withColumn("attributes", A.attributes(F.col("title"), F.col("category_name"))))
 
 
 @query("attributes_routed", with_ctes(
