@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from pricetide.llm import arrays, decontaminate, minhash, substrings
+from pricetide.llm import components as component_steps
 from pricetide.llm.components import components
 from tests.llm.common import ALNUM, ASCII_LOWER, AWKWARD, SPACE, by_id, documents, prose
 
@@ -189,6 +190,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
 
 
+def test_few_links_are_worked_off_in_one_partition(spark, monkeypatch):
+    rows = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
+    links = spark.createDataFrame(rows, "a bigint, b bigint").repartition(4)
+    parts, cut = [], component_steps.cut
+    monkeypatch.setattr(component_steps, "cut", lambda frame: parts.append(cut(frame)) or parts[-1])
+    few = sorted(map(tuple, components(links, "a", "b").collect()))
+    assert len(parts) > 1 and all(p.rdd.getNumPartitions() == 1 for p in parts[-1:])
+    monkeypatch.setattr(component_steps, "FEW", 0)
+    assert sorted(map(tuple, components(links, "a", "b").collect())) == few == sorted(
+        [(i, 0) for i in range(1, 41)] + [(100 + i, 100) for i in range(1, 30)])
+
+
 def expected_removal(rows, window=13):
     first = {}
     texts = [(d, SPACE.findall(t or "")) for d, t, *_ in rows]
