@@ -274,3 +274,39 @@ def test_no_shuffle_by_key_alone_over_all_snapshots(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(key" in line and "_slice" not in line.split("]")[0]]
     assert out.count() == 4000 and len(wide) <= 2, plan  # one row per stretch, and the stored state
+
+
+def _snapshots_with_hot_key(spark):
+    return spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 != 1, F.concat(F.lit("k"), (F.col("id") % 400).cast("string"))).alias("key"),
+        F.col("id").alias("seq"), F.when(F.col("id") % 5 != 0, (F.col("id") % 7).cast("double")).alias("price"),
+        F.when(F.col("id") % 11 < 6, "available").otherwise("unavailable").alias("status"))
+
+
+def _followed(frame):
+    rows = frame.select("key", "seq", "price", "status", "before.price", "before.status", "last_price", "is_first").collect()
+    return sorted(map(repr, rows))
+
+
+STATE = "key string, prior_status string, prior_price double, prior_observed double, mark int"
+
+
+@pytest.mark.parametrize("carry", [None, ["mark"]])
+def test_hot_keys_alone_are_cut(spark, monkeypatch, carry):
+    rows = _snapshots_with_hot_key(spark)
+    prior = spark.createDataFrame([("hot", "available", 3.0, 4.0, 1), ("k7", None, None, 2.0, 2)], STATE)
+    want = _followed(changes.follow(rows, prior, slices=1, carry=carry))
+    assert len(want) == (1000 + rows.filter("key = 'k7'").count() if carry else rows.filter("key IS NOT NULL").count())
+    assert _followed(changes.follow(rows, prior, carry=carry)) == want
+    monkeypatch.setattr(changes, "STRETCH_ROWS", 200)
+    assert changes._hot_keys(rows, "key") == ["hot"]
+    out = changes.follow(rows, prior, carry=carry)
+    assert "_slice" in out._jdf.queryExecution().analyzed().toString()
+    assert _followed(out) == want
+
+
+def test_snapshots_are_dealt_once_without_hot_keys(spark):
+    prior = spark.createDataFrame([], STATE)
+    plan = changes.follow(_snapshots_with_hot_key(spark), prior)._jdf.queryExecution().sparkPlan().toString()
+    # one window, one reading of the snapshots
+    assert plan.count("Window [") == 1 and plan.count("Range (") == 1, plan
