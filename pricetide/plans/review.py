@@ -10,6 +10,7 @@ from pricetide.functions import predicates as P
 from pricetide.operators import match as M
 from pricetide.operators import stats as S
 from pricetide.schemas import Catalog
+from pricetide.sources.lineage import stored
 
 
 def _matching(cat: Catalog, decision, retailer_id, category_id, search) -> DataFrame:
@@ -65,6 +66,11 @@ def decisions_total(
     return _matching(cat, decision, retailer_id, category_id, search).agg(F.count("*").alias("total"))
 
 
+#: what a candidate shows besides its ids
+SHOWN = ["position", "score", "model_score", "name_score", "reasons", "canonical_name", "fingerprint", "brand", "category_name",
+         "best_price", "retailer_count"]
+
+
 def _listing_texts(cat: Catalog, listings: DataFrame) -> DataFrame:
     """Listing columns the ranking reads, with the category's name."""
     named = cat.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
@@ -74,24 +80,38 @@ def _listing_texts(cat: Catalog, listings: DataFrame) -> DataFrame:
     )
 
 
-def candidates(
-    cat: Catalog, listings: DataFrame, *, k: int = 8, search: str | None = None, min_score: float = 0.0
-) -> DataFrame:
-    """Ranked candidate products for a set of listing rows, with price and retailer counts."""
-    best = M.rank(
-        _listing_texts(cat, listings), cat.products, cat.offers, k=k, search=search, min_score=min_score
-    )
-    product = cat.products.select(
-        F.col("id").alias("product_id"), "canonical_name", "fingerprint", "category_id", F.col("brand").alias("brand")
+def _ranked(
+    cat: Catalog, listings: DataFrame, *, k: int, search: str | None = None, min_score: float = 0.0
+) -> tuple[DataFrame, DataFrame]:
+    """``(listing_id, probe_id)``, and the ranked products of each ``probe_id`` with price and retailer counts.
+
+    Products and the rollup of offers feed the ranking and what is shown of it, so both are computed once.
+    """
+    products = stored(cat.products.select(
+        "id", "canonical_name", "category_id", "brand", "model_key", "fingerprint", "attributes", "is_active"
+    ))
+    rollup = stored(S.candidate_rollup(cat.offers))
+    asked, best = M.rank_texts(
+        _listing_texts(cat, listings), products, rollup.select("product_id", F.col("offer_count").alias("c_offers")),
+        k=k, search=search, min_score=min_score,
     )
+    product = products.select(F.col("id").alias("product_id"), "canonical_name", "fingerprint", "category_id", "brand")
     named = cat.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    rollup = S.candidate_rollup(cat.offers).drop("offer_count")
-    return (
-        best.join(product, "product_id").join(named, "category_id", "left").join(rollup, "product_id", "left")
+    return asked, (
+        best.join(product, "product_id").join(named, "category_id", "left").join(rollup.drop("offer_count"), "product_id", "left")
         .withColumn("retailer_count", F.coalesce("retailer_count", F.lit(0)).cast("long"))
+        .select("probe_id", "product_id", "category_id", *SHOWN)
     )
 
 
+def candidates(
+    cat: Catalog, listings: DataFrame, *, k: int = 8, search: str | None = None, min_score: float = 0.0
+) -> DataFrame:
+    """Ranked candidate products for a set of listing rows, with price and retailer counts."""
+    asked, best = _ranked(cat, listings, k=k, search=search, min_score=min_score)
+    return asked.join(best, "probe_id").select("product_id", "category_id", "listing_id", *SHOWN)
+
+
 def decision_candidates(
     cat: Catalog, decision_ids: DataFrame | None = None, *, k: int = 8, search: str | None = None
 ) -> DataFrame:
@@ -100,15 +120,19 @@ def decision_candidates(
         rows = cat.decisions.filter(F.col("decision") == "needs_review")
     else:
         rows = cat.decisions.join(decision_ids.select("id"), "id", "left_semi")
-    asked = rows.select(F.col("id").alias("decision_id"), "listing_id")
-    wanted = cat.listings.join(asked.select(F.col("listing_id").alias("id")), "id", "left_semi")
-    return asked.join(candidates(cat, wanted, k=k, search=search), "listing_id")
+    decided = stored(rows.select(F.col("id").alias("decision_id"), "listing_id"))
+    wanted = cat.listings_of(decided.select(F.col("listing_id").alias("id")))
+    asked, best = _ranked(cat, wanted, k=k, search=search)
+    # Narrow rows meet first; each candidate is then joined to the decisions of its text once.
+    return decided.join(asked, "listing_id").join(best, "probe_id").select(
+        "listing_id", "decision_id", "product_id", "category_id", *SHOWN
+    )
 
 
 def pending_with_top_candidate(cat: Catalog, **page) -> DataFrame:
     """A page of the review queue with each decision's best candidate."""
-    rows = decisions(cat, **{**page, "decision": "needs_review"})
-    wanted = cat.listings.join(rows.select(F.col("listing_id").alias("id")), "id", "left_semi")
+    rows = stored(decisions(cat, **{**page, "decision": "needs_review"}))
+    wanted = cat.listings_of(rows.select(F.col("listing_id").alias("id")))
     top = candidates(cat, wanted, k=1).select(
         "listing_id", F.col("product_id").alias("top_product_id"), F.col("canonical_name").alias("top_name"),
         F.col("score").alias("top_score"), F.col("reasons").alias("top_reasons"),
@@ -194,9 +218,9 @@ def resolve(cat: Catalog, resolutions: DataFrame) -> tuple[Catalog, DataFrame]:
 def bulk_outcomes(cat: Catalog, decision_ids: DataFrame, *, min_score: float = V.BULK_MIN_SCORE) -> DataFrame:
     """What bulk acceptance does with each decision: ``resolved`` or the reason it is skipped."""
     known = cat.decisions.select("id", "decision", "listing_id")
-    asked = decision_ids.select("id").distinct().join(known, "id", "left")
+    asked = stored(decision_ids.select("id").distinct().join(known, "id", "left"))
     pending = asked.filter(F.col("decision") == "needs_review")
-    wanted = cat.listings.join(pending.select(F.col("listing_id").alias("id")), "id", "left_semi")
+    wanted = cat.listings_of(pending.select(F.col("listing_id").alias("id")))
     top = M.rank(_listing_texts(cat, wanted), cat.products, cat.offers, k=1, min_score=min_score).select(
         "listing_id", "product_id", "score"
     )

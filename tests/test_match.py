@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +12,11 @@ from pricetide import fixed_values as V
 from pricetide.functions.block_bounds import Summaries, highest_scores, summary
 from pricetide.functions.pair_scores import Side, best_matches
 from pricetide.functions.similarity import common_subsequence, token_set_ratio, tokens
+from pricetide.operators import ingest
 from pricetide.operators import match as M
 from pricetide.plans import review
+from workload import adapter, job_queries
+from workload.registry import QUERIES
 
 
 def ratio(a, b):
@@ -244,3 +248,63 @@ def test_bulk_apply(spark, seed):
     done, outcomes = review.bulk_apply(seed, spark.createDataFrame([("d1",), ("nope",)], "id string"))
     assert {r.decision_id: r.outcome for r in outcomes.collect()} == {"d1": "resolved", "nope": "decision_not_found"}
     assert done.decisions.collect()[0].decision == "needs_review"
+
+
+@pytest.fixture
+def small_tables(spark, tmp_path):
+    """Driver tables of 40 parts, each sold by two suppliers, with an order a line."""
+    day = datetime(1998, 1, 1)
+    lines = [(n, n % 40 + 1, n // 40 + 1, 1, 2.0, 20.0 + n, 0.0, 0.1, "N", "O", day) for n in range(80)]
+    kinds = ["1-URGENT", "2-HIGH", "5-LOW", "3-MEDIUM"]
+    rows = {
+        "lineitem": lines, "part": [(n, f"p{n}", "b", "PROMO", 5, 1.0) for n in range(1, 41)],
+        "supplier": [(n, f"s{n}", 1, 1.0) for n in (1, 2)],
+        "orders": [(n, 1, "O", 1.0, day, kinds[n % 4]) for n in range(80)],
+    }
+    for name, found in rows.items():
+        spark.createDataFrame(found, adapter.TEST_TABLES[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["review_candidates", "bulk_eligible_decisions", "bulk_accept_outcomes"])
+def test_texts_are_worked_out_for_asked_listings_only(spark, monkeypatch, small_tables, name):
+    identify = ingest.identify
+
+    def strict(rows):
+        if "offer_id" in rows.columns:
+            asked = (F.col("offer_id") / adapter.OFFER_KEY).cast("long") % 4 == 1  # line n of part n % 40 + 1 is urgent for n % 4 = 0
+            rows = rows.withColumn("name", F.when(asked, F.col("name")).otherwise(F.raise_error(F.lit("not asked for"))))
+        return identify(rows)
+
+    monkeypatch.setattr(ingest, "identify", strict)
+    rows = QUERIES[name](spark, small_tables).collect()
+    asked = {r.decision_id for r in rows if name != "bulk_accept_outcomes" or r.outcome != "decision_not_pending_review"}
+    assert asked and asked <= set(range(0, 80, 4))
+    assert len(rows) == 80 or name != "bulk_accept_outcomes"
+
+
+def test_equal_texts_are_ranked_and_reasoned_once(spark):
+    listings, products, offers = family_catalog(spark, 2)
+    many = listings.drop("listing_id").limit(1).crossJoin(spark.range(50).select(F.concat(F.lit("l"), "id").alias("listing_id")))
+    asked, best = M.rank_texts(many, products, M.offer_counts(offers), k=3)
+    assert (asked.count(), best.count()) == (50, 3)
+    got = M.rank(many, products, offers, k=3).groupBy("product_id", "position", "score", "reasons").count().collect()
+    assert len(got) == 3 and {r["count"] for r in got} == {50}
+
+
+def test_products_and_offers_are_read_once_for_ranking_and_display(spark, small_tables):
+    cat = job_queries._title_catalog(spark, small_tables)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frame):
+        def run(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return frame.mapInArrow(run, frame.schema)
+
+    cat.products, cat.offers = counted(cat.products), counted(cat.offers)
+    kept = review.decision_candidates(cat, k=2)
+    once = read.value
+    assert kept.count() > 0 and read.value == once == 40 + 80
