@@ -10,7 +10,7 @@ from pricetide.functions import predicates as P
 from pricetide.operators import match as M
 from pricetide.operators import stats as S
 from pricetide.schemas import Catalog
-from pricetide.sources.lineage import stored
+from pricetide.sources.lineage import grown, stored
 
 
 def _matching(cat: Catalog, decision, retailer_id, category_id, search) -> DataFrame:
@@ -90,12 +90,12 @@ def _ranked(
     products = stored(cat.products.select(
         "id", "canonical_name", "category_id", "brand", "model_key", "fingerprint", "attributes", "is_active"
     ))
-    rollup = stored(S.candidate_rollup(cat.offers))
+    rollup = grown(stored(S.candidate_rollup(cat.offers)))
     asked, best = M.rank_texts(
         _listing_texts(cat, listings), products, rollup.select("product_id", F.col("offer_count").alias("c_offers")),
         k=k, search=search, min_score=min_score,
     )
-    product = products.select(F.col("id").alias("product_id"), "canonical_name", "fingerprint", "category_id", "brand")
+    product = grown(products).select(F.col("id").alias("product_id"), "canonical_name", "fingerprint", "category_id", "brand")
     named = cat.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
     return asked, (
         best.join(product, "product_id").join(named, "category_id", "left").join(rollup.drop("offer_count"), "product_id", "left")
@@ -120,11 +120,11 @@ def decision_candidates(
         rows = cat.decisions.filter(F.col("decision") == "needs_review")
     else:
         rows = cat.decisions.join(decision_ids.select("id"), "id", "left_semi")
-    decided = stored(rows.select(F.col("id").alias("decision_id"), "listing_id"))
+    decided = grown(stored(rows.select(F.col("id").alias("decision_id"), "listing_id")))
     wanted = cat.listings_of(decided.select(F.col("listing_id").alias("id")))
     asked, best = _ranked(cat, wanted, k=k, search=search)
     # Narrow rows meet first; each candidate is then joined to the decisions of its text once.
-    return decided.join(asked, "listing_id").join(best, "probe_id").select(
+    return decided.join(grown(asked), "listing_id").join(best, "probe_id").select(
         "listing_id", "decision_id", "product_id", "category_id", *SHOWN
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pricetide import schemas
 from pricetide.operators import ingest
 from pricetide.operators.ordering import numbered
+from pricetide.plans import review
 from pricetide.sources import lineage
 
 
@@ -76,3 +77,20 @@ def test_a_merge_keeps_its_snapshots_plan_and_history_only(spark):
     assert done.catalog.offers.count() == 3 and done.results.count() == 6
     # of the two snapshots with one sequence number the greater row, by its text, stays
     assert [(r["price"], r["problem"]) for r in done.rejected.collect()] == [(7.0, "repeated_sequence")]
+
+
+def test_a_stored_frame_that_outgrows_a_join_is_dealt_by_its_key(spark, monkeypatch):
+    kept = lineage.stored(spark.range(100).select("id", F.lit("x").alias("text")))
+    plan = lambda: spark.range(10).join(lineage.grown(kept), "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan()
+    monkeypatch.setattr(lineage, "CARRIED_ROWS", 99)
+    assert "SortMergeJoin" in plan() and "Broadcast" not in plan()
+
+
+def test_review_candidates_carry_no_table_through_the_driver(spark, seed, monkeypatch):
+    want = sorted(map(repr, review.decision_candidates(seed).collect()))
+    monkeypatch.setattr(lineage, "CARRIED_ROWS", 0)
+    out = review.decision_candidates(seed)
+    assert sorted(map(repr, out.collect())) == want and want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 4, plan
