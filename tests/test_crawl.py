@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from conftest import NOW
 from pricetide import schemas
 from pricetide.operators import crawl, extract
@@ -21,3 +23,26 @@ def test_a_crawl_reads_its_pages_once(spark, monkeypatch):
     assert sorted((r["listing_name"], r["current_price"], r["status"]) for r in done.catalog.offers.collect()) == [
         ("Drive 4 TB", 2048.0, "available"), ("Frame R2 & Glass", None, "unavailable"), ("Quiet Fan 140", 37.5, "available")]
     assert [(r["id"], r["status"], r["listings_seen"], r["listings_created"]) for r in done.catalog.runs.collect()] == [("run-jw", "partial", 3, 3)]
+
+
+def test_pages_meet_their_tasks_as_they_lie(spark):
+    rows = [("https://a.example/x/1", 1), ("https://a.example/x/1", 2), ("https://a.example/y", 3), ("https://b.example/", 4), ("nowhere", 5), (None, 6)]
+    pages = spark.createDataFrame(rows, "url string, page_id int")
+    tasks = spark.createDataFrame([("https://a.example", "all"), ("https://a.example/x", "x"), ("https://a.example/x", "w"), ("https://a.example/x", None), (None, "none"), ("nowhere", "bare")],
+                                  "task_url string, category string")
+    out = extract.category_of(pages, tasks)
+    assert sorted((r.page_id, r.category_name) for r in out.collect()) == [(1, "x"), (2, "x"), (3, "all"), (4, None), (5, "bare"), (6, None)]
+    assert out.columns == ["url", "page_id", "category_name"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("Join") == 1, plan  # the tasks of a host; pages are not dealt by address
+
+
+def test_card_pages_are_spread_over_the_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from workload import adapter, job_queries
+
+    rows = [(n, n, 4, 1, 2.0, 100.0, 0.0, 0.1, "N", "O", datetime(1998, 1, 1)) for n in range(200)]
+    kinds = adapter.TEST_TABLES["lineitem"].replace("timestamp_ntz", "timestamp")
+    spark.createDataFrame(rows, kinds).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = job_queries._card_pages(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == 4 and made.count() == 200
